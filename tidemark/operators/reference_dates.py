@@ -14,6 +14,19 @@ from tidemark.operators import ranking
 CHUNK = 100_000
 
 
+def listing(rows: DataFrame, by: str, date: str) -> DataFrame:
+    """(pos, date): one key's dates after another's, numbered from 1.
+
+    Each key starts where the keys before it end; a key's own dates are one
+    per day, so only that much is sorted together.
+    """
+    sizes = ranking.group_sizes(rows, [by], "_n")
+    starts = ranking.totals_below(sizes, [], by, ["_n"]).select(by, "_n_below")
+    within = F.row_number().over(W.partitionBy(by).orderBy(date))
+    placed = rows.withColumn("_in", within).join(starts, by)
+    return placed.select((F.col("_n_below") + F.col("_in")).alias("pos"), date)
+
+
 def date_groups(dates: DataFrame, pos: str = "pos", date: str = "date", chunk: int = CHUNK) -> DataFrame:
     """`group_no` (from 1) and `in_group` (from 1) for each listed date.
 

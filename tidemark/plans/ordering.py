@@ -16,7 +16,8 @@ VOLUMES = ["negative", "neutral", "positive", "label_0", "label_1"]
 # Rows of events inside the range, one per (symbol, event), dated by the first day.
 EVENTS_SQL = f"""{event_rows()},
     e as (select s.symbol, case when st.event = 1 then st.event_id end event_only_index, s.date, s.surprise_percent
-      from stock s join study st on s.symbol = st.symbol and s.pos = st.pos),
+      from stock s join study st on s.symbol = st.symbol and s.pos = st.pos
+      where s.date between date '{study.START}' and date '{study.END}'),
     ep as (select symbol, event_only_index, min(date) date, round(coalesce(sum(surprise_percent), 0), 6) + 0 surprise_percent
       from e where event_only_index is not null group by symbol, event_only_index)"""
 
@@ -26,6 +27,7 @@ def events(t):
     from tidemark.operators.event_study import event_only_index
 
     rows = event_only_index(study.study(t)).where(F.col("event_only_index").isNotNull())
+    rows = rows.where(F.col("date").between(F.lit(study.START).cast("date"), F.lit(study.END).cast("date")))
     return rows.groupBy("symbol", "event_only_index").agg(
         F.min("date").alias("date"), F.round(sum0("surprise_percent"), 6).alias("surprise_percent")
     )
@@ -109,10 +111,11 @@ def domain_pairs(t):
 
 
 # -- reference dates ----------------------------------------------------------
-# The list: release dates with a positive surprise, one symbol's after another's.
+# The list: every release date, one symbol's after another's. The panel: events of the
+# study range, so some dates find no event.
 
 LIST_SQL = """
-    l as (select row_number() over (order by symbol, date) pos, date from releases where surprise_percent > -3),
+    l as (select row_number() over (order by symbol, date) pos, date from releases),
     b as (select *, case when date < lag(date) over (order by pos) then 1 else 0 end br from l),
     g as (select pos, date, 1 + cast(sum(br) over (order by pos) as bigint) group_no from b),
     groups as (select *, pos - min(pos) over (partition by group_no) + 1 in_group from g)"""
@@ -123,10 +126,7 @@ NUMBERED_SQL = """
 
 
 def listed(t):
-    rows = t.releases.where("surprise_percent > -3").select("symbol", "date")
-    bucket = F.col("symbol")
-    ordered = ranking.ranked(rows, [], ["symbol", "date"], bucket, "pos")
-    return ref.date_groups(ordered.select("pos", "date"), chunk=1000)
+    return ref.date_groups(ref.listing(t.releases.select("symbol", "date"), "symbol", "date"), chunk=1000)
 
 
 @query("descending_break_groups", f"with {LIST_SQL} select * from groups")

@@ -136,7 +136,7 @@ def event_rows(style: str = "symmetric", keep: str = "first", min_est: int = 0)
 
 def with_views(body: str) -> str:
     """`body` with every view it needs as a leading WITH clause."""
-    own = re.match(r"\s*with\s+", body, re.I)
+    own = re.match(r"\s*with\s+(recursive\s+)?", body, re.I)
     needed: list[str] = []
 
     def visit(text: str) -> None:
@@ -151,5 +151,5 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{name} as ({VIEWS[name]})" for name in needed)
     if own:
-        return f"with {ctes},\n{body[own.end():]}"
+        return f"with {own.group(1) or ''}{ctes},\n{body[own.end():]}"
     return f"with {ctes}\n{body}"
