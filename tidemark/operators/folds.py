@@ -60,10 +60,12 @@ def domain_pairs(df: DataFrame, k: int = 2, min_rows: int = 800, max_pairs: int
     """Ordered (train, test) pairs of different domains, the first `max_pairs` of them."""
     found = domains(df, k, min_rows)
     name = F.concat_ws(" vs ", "true_subject", "fake_subject")
-    all_ = found.agg(F.sort_array(F.collect_list(F.struct("domain", name.alias("name")))).alias("d"))
+    parts = F.array("true_subject", "fake_subject").alias("subjects")
+    all_ = found.agg(F.sort_array(F.collect_list(F.struct("domain", name.alias("name"), parts))).alias("d"))
     pairs = all_.select("d", F.explode("d").alias("a")).select("a", F.explode("d").alias("b"))
     pairs = pairs.where("a.domain <> b.domain").select(
         F.col("a.domain").alias("train_no"), F.col("b.domain").alias("test_no"),
         F.col("a.name").alias("train_domain"), F.col("b.name").alias("test_domain"),
+        F.col("a.subjects").alias("train_subjects"), F.col("b.subjects").alias("test_subjects"),
     )
     return pairs.orderBy("train_no", "test_no").limit(max_pairs) if max_pairs else pairs

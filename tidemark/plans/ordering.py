@@ -107,7 +107,7 @@ def kfold_assign(t):
     select cast(x."domain" as int) train_no, cast(y."domain" as int) test_no, x.name train_domain, y.name test_domain
     from ok x join ok y on x."domain" <> y."domain" order by 1, 2 limit 4""")
 def domain_pairs(t):
-    return folds.domain_pairs(t.articles, k=2, min_rows=2, max_pairs=4)
+    return folds.domain_pairs(t.articles, k=2, min_rows=2, max_pairs=4).drop("train_subjects", "test_subjects")
 
 
 # -- reference dates ----------------------------------------------------------

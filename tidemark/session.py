@@ -32,6 +32,7 @@ def build_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidemark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -67,11 +68,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store `df` reliably, so that a lost executor costs no earlier rounds."""
+    """Store `df` as a table in the shared folder and go on from there.
+
+    A lost executor then costs no earlier rounds, and later steps read only
+    the columns they need, with sizes Spark knows.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = new_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
