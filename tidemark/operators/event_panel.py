@@ -10,6 +10,7 @@ from tidemark.operators.aggregates import daily_uncertainty, illiquid_flags
 from tidemark.operators.event_study import event_only_index
 from tidemark.operators.labels import PRODUCTS
 from tidemark.operators.rolling import rolling_sums
+from tidemark.session import cut_lineage
 
 LAGS = [20, 40, 60, 120]
 ROLLED = dict(zip(PRODUCTS, ("pl1", "nl1", "pl0", "nl0", "rpl1", "rnl1", "rpl0", "rnl0")))
@@ -33,18 +34,23 @@ def rolling_sentiment(df: DataFrame, fill_missing: bool = False, lags: list[int]
     if fill_missing:
         df = df.na.fill(0, list(PRODUCTS))
     pos = F.row_number().over(W.partitionBy("symbol").orderBy("date"))
-    return rolling_sums(df.withColumn("_row", pos), ["symbol"], "_row", ROLLED, lags or LAGS).drop("_row")
+    rows = df.withColumn("_row", pos)
+    return rolling_sums(rows, ["symbol"], "_row", ROLLED, lags or LAGS, complete=fill_missing).drop("_row")
 
 
 def stock_with_features(
     study: DataFrame, daily: DataFrame, start: str, end: str, fill_missing: bool = False
 ) -> DataFrame:
-    """Price rows in the date range with news sums, uncertainty, illiquidity and rolling sums."""
+    """Price rows in the date range with news sums, uncertainty, illiquidity and rolling sums.
+
+    The joined rows are stored once: the illiquidity border, the day
+    uncertainty and the windows each read the few columns they need from there.
+    """
     day = F.col("date")
     rows = joins.stock_with_news(study, daily).where(
         day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     )
-    rows = prices.with_illiquidity(event_only_index(rows))
+    rows = cut_lineage(prices.with_illiquidity(event_only_index(rows)))
     rows = rows.join(illiquid_flags(rows).select("symbol", "illiq"), "symbol", "left")
     return rolling_sentiment(rows, fill_missing)
 

@@ -1,8 +1,10 @@
 """Betas and abnormal returns around earnings releases.
 
-Everything is a window over a symbol's days in order, so one sort per symbol
-does it all. No event is ever expanded into its rows: a row asks which events
-lie within reach instead. A symbol has one row per day, which bounds the group.
+Everything is a window over a symbol's days in order, and every window is a
+running total or a look at one other row, so the work per row does not grow
+with the windows. No event is ever expanded into its rows: a row asks which
+event is nearest on either side. A symbol has one row per day, which bounds
+the group.
 """
 
 from __future__ import annotations
@@ -10,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions import finance as fin
-from tidemark.functions.columns import flag, ratio
+from tidemark.functions.columns import flag
 from tidemark.operators import ranking
+from tidemark.operators.rolling import trailing_beta
 
 STYLES = {"symmetric": lambda span: (span // 2, span // 2), "pre_event": lambda span: (span, 0)}
 
@@ -34,7 +37,7 @@ def event_study(
     (symmetric) or before it (pre_event); beta comes from the `est_rows` rows
     before the window. Where events overlap, every column takes the first (or
     last) event that has a value for it. Windows stop at the ends of a symbol's
-    rows by themselves, as row frames do.
+    rows.
     """
     if style not in STYLES:
         raise ValueError(f"style must be one of {sorted(STYLES)}")
@@ -43,25 +46,40 @@ def event_study(
             raise KeyError(name)
     before, after = STYLES[style](span)
     ordered = W.partitionBy("symbol").orderBy("date")
-    est = ordered.rowsBetween(-(before + est_rows), -(before + 1))
+    running = ordered.rowsBetween(W.unboundedPreceding, 0)
 
-    df = stock.join(ranking.key_positions(stock, "symbol", "_symbol_rank"), "symbol").withColumns({
-        "_n_est": F.count(F.lit(1)).over(est),
-        "_beta": ratio(F.covar_samp(returns, market).over(est), F.var_samp(market).over(est)),
-    })
-    df = df.withColumn("_kept", F.col(surprise).isNotNull() & (F.col("_n_est") >= min_est_rows))
-    ordinal = F.sum(flag(F.col("_kept"))).over(ordered.rowsBetween(W.unboundedPreceding, 0))
+    df = stock.join(ranking.key_positions(stock, "symbol", "_symbol_rank"), "symbol")
+    df = trailing_beta(df, before + est_rows, before + 1, returns, market)
+    df = df.withColumn("_kept", F.col(surprise).isNotNull() & (F.col("_rows") >= min_est_rows))
+    ordinal = F.sum(flag(F.col("_kept"))).over(running)
     event_id = (F.lit(100) * F.col("_symbol_rank") + ordinal).cast("bigint")
-    df = df.withColumn("_event", F.when(F.col("_kept"), F.struct(event_id.alias("id"), F.col("_beta").alias("beta"))))
+    made = F.struct(F.col("_pos").alias("at"), event_id.alias("id"), F.col("_beta").alias("beta"))
+    df = df.withColumn("_event", F.when(F.col("_kept"), made))
+    df = df.withColumn("_fitted", F.when(F.col("_event.beta").isNotNull(), F.col("_event")))
 
-    # Events whose written rows (estimation and window) cover this row.
-    pick = {"first": F.first, "last": F.last}[keep]
-    reach = ordered.rowsBetween(-after, before + est_rows)
+    # An event writes the rows from its estimation start to its window end, so
+    # a row is written by events from `after` rows back to `far` rows ahead.
+    # The first of them is the first event from `after` rows back on; the last
+    # is the last event up to `far` rows ahead.
+    far = before + est_rows
+    if keep == "first":
+        order, reach = W.partitionBy("symbol").orderBy(F.desc("date")), after
+    else:
+        order, reach = ordered, far
+    seen = order.rowsBetween(W.unboundedPreceding, 0)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    df = df.withColumns({f"{c}_seen": F.last(c, ignorenulls=True).over(seen) for c in ("_event", "_fitted")})
+    # Past the end of the symbol's rows the outermost event is the candidate.
     near = ordered.rowsBetween(-after, before)
     df = df.withColumns({
-        "_owner": pick("_event", ignorenulls=True).over(reach),
-        "beta": pick(F.col("_event.beta"), ignorenulls=True).over(reach),
-        "event": F.max(F.when(F.col("_kept"), F.lit(1))).over(near),
+        f"{c}_by": F.coalesce(F.lead(f"{c}_seen", reach).over(order) if reach else F.col(f"{c}_seen"),
+                              F.last(c, ignorenulls=True).over(whole))
+        for c in ("_event", "_fitted")
+    } | {"event": F.max(F.when(F.col("_kept"), F.lit(1))).over(near)})
+    covers = lambda c: F.col(f"{c}.at").between(F.col("_pos") - after, F.col("_pos") + far)
+    df = df.withColumns({
+        "_owner": F.when(covers("_event_by"), F.col("_event_by")),
+        "beta": F.when(covers("_fitted_by"), F.col("_fitted_by.beta")),
     })
     owner_ar = fin.abnormal_return(returns, "_owner.beta", market)
     df = df.withColumns({
@@ -69,7 +87,7 @@ def event_study(
         "ar": fin.abnormal_return(returns, "beta", market),
         "ar_signif": F.when(F.col("_owner").isNotNull(), fin.significance(owner_ar, crit)),
     })
-    return df.drop("_symbol_rank", "_n_est", "_beta", "_kept", "_event", "_owner")
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def event_only_index(df: DataFrame) -> DataFrame:

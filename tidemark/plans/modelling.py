@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import classifiers as cl, clean, folds, prices, regression as reg
 from tidemark.operators.labels import PRODUCTS
+from tidemark.operators.reshape import union_all
 from tidemark.plans import study
 from tidemark.plans.panels import feature_table, training_texts
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import Tables
 
 BASE = ("dividends", "volume", "market_cap", "surprise_percent")
@@ -125,8 +127,10 @@ def sentiment_specs(lag, relevance=False):
 
 @query("sentiment_hypotheses")
 def sentiment_hypotheses(t):
-    specs = [s for r in (False, True) for s in sentiment_specs(120, r)]
-    return fit(model_panel(t, fill_missing=True), specs)
+    """Lag by lag, as an empty balance at one lag must not cost rows at another."""
+    panel = cut_lineage(model_panel(t, fill_missing=True))
+    fits = [fit(panel, sentiment_specs(lag, relevance)) for lag in (20, 120) for relevance in (False, True)]
+    return union_all(*fits)
 
 
 @query("pooled_ols")
@@ -186,9 +190,8 @@ def gbt_direction(t):
 
 @query("param_search")
 def param_search(t):
-    rows = feature_table(t)
-    made = [cl.search(rows, FEATURES, "returns_binary", k) for k in ("lr", "rf", "gbt")]
-    return made[0].unionByName(made[1]).unionByName(made[2])
+    rows = cut_lineage(feature_table(t))
+    return union_all(*[cl.search(rows, FEATURES, "returns_binary", k) for k in ("lr", "rf", "gbt")])
 
 
 def labelled_texts(t: Tables):

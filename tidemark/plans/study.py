@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidemark.operators import aggregates as agg, asof, event_panel as ep, event_study as es, prices
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import Tables
 
 START, END = "1996-01-01", "2000-12-31"
@@ -15,9 +16,12 @@ def market(t: Tables) -> DataFrame:
 
 
 def stock(t: Tables) -> DataFrame:
-    """Bars with returns, market value, earnings and the market's day."""
+    """Bars with returns, market value, earnings and the market's day, stored as a stage.
+
+    The event windows, their symbol numbers and the panels all start from it.
+    """
     rows = prices.with_returns(asof.market_cap(t.bars, t.shares))
-    return prices.join_market(prices.join_earnings(rows, t.releases), market(t))
+    return cut_lineage(prices.join_market(prices.join_earnings(rows, t.releases), market(t)))
 
 
 def study(t: Tables, style: str = "symmetric", keep: str = "first", min_est_rows: int = 0) -> DataFrame:

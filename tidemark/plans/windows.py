@@ -75,7 +75,7 @@ def rolling_news_labels(t):
     order = ["published", "news_id", "title", "finbert", "fakebert"]
     bucket = F.concat_ws("|", F.col("published").cast("string"), F.substring("news_id", 1, 2))
     rows = ranked(one_hot(t.news), ["company"], order, bucket, "_pos")
-    rows = rolling.rolling_sums(rows, ["company"], "_pos", dict(NEWS_SHORT), ep.LAGS)
+    rows = rolling.rolling_sums(rows, ["company"], "_pos", dict(NEWS_SHORT), ep.LAGS, complete=True)
     return rows.select("news_id", "published", "company", *[f"{p}_{n}" for n in ep.LAGS for _, p in NEWS_SHORT])
 
 

@@ -66,11 +66,21 @@ def labelled_articles(spark: SparkSession, folders: dict[int, str]) -> DataFrame
     )
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished write lies at `path`; an unfinished one does not count."""
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+    fs, marker = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(marker)
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or of all files in a folder."""
+    fs, target = _file_system(spark, path)
+    return fs.getContentSummary(target).getLength()
 
 
 def stage(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.session import configure
+from tidemark.sources.files import file_bytes
+
+
+SPREAD_FROM, SPREAD_BELOW = 1 << 20, 64 << 20
 
 
 class Tables:
@@ -21,7 +25,17 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One Parquet table, its rows spread over the cores if it is a single small file.
+
+        A file below the split size is read by one task, and everything up to
+        the first shuffle would run there. Large tables come in many splits
+        and are left as they are.
+        """
+        path = f"{self.folder}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        if SPREAD_FROM <= file_bytes(self.spark, path) < SPREAD_BELOW:
+            df = df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
     @cached_property
     def _trades(self) -> DataFrame:
