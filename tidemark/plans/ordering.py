@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions.columns import sum0
 from tidemark.operators import folds, joins, labels, prices, ranking, reference_dates as ref, reshape
@@ -38,7 +38,7 @@ def events(t):
     select *, min(date) over () cut_date from l""")
 def panel_latest_n(t):
     last = ranking.latest(events(t), 343, F.desc("date"), F.desc("symbol"), F.desc("event_only_index"))
-    return last.withColumn("cut_date", last.agg(F.min("date")).scalar())
+    return last.withColumn("cut_date", F.min("date").over(W.partitionBy(F.lit(0))))
 
 
 @query("topk_subjects", """
