@@ -6,7 +6,6 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import Window as W, functions as F
 
 from conftest import rows
 from tidemark.operators import event_study as es, rolling

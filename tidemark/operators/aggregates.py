@@ -6,9 +6,7 @@ a hot company, source or date sends one row per partition, not all its news.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import flag, ratio, sum0, zero
 from tidemark.operators import ranking
@@ -29,12 +27,19 @@ def daily_news_sums(news: DataFrame, classes: DataFrame | None = None, organisat
     return rows.groupBy("company", "date").agg(*[sum0(c).alias(c) for c in DAILY_SUMS])
 
 
-def daily_news_ratios(news: DataFrame) -> DataFrame:
-    """Counts by company and day with label-0 remainders and mention shares."""
+LABEL_SUMS = ("positive", "negative", "neutral", "label_0", "label_1", "positive_label_1", "negative_label_1")
+
+
+def daily_label_sums(news: DataFrame) -> DataFrame:
+    """Label counts by company and day over all news that has both."""
     rows = interactions(one_hot(news)).withColumn("date", F.to_date("published"))
     rows = rows.where(F.col("date").isNotNull() & F.col("company").isNotNull())
-    kept = ("positive", "negative", "neutral", "label_0", "label_1", "positive_label_1", "negative_label_1")
-    return shares_of_mentions(rows.groupBy("company", "date").agg(*[sum0(c).alias(c) for c in kept]))
+    return totals(rows, ["company", "date"], list(LABEL_SUMS))
+
+
+def daily_news_ratios(news: DataFrame) -> DataFrame:
+    """Counts by company and day with label-0 remainders and mention shares."""
+    return shares_of_mentions(daily_label_sums(news))
 
 
 def daily_uncertainty(df: DataFrame, pos: str = "positive", neg: str = "negative", date: str = "date") -> DataFrame:

@@ -10,21 +10,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.operators.spread import spread_join
 from tidemark.session import cut_lineage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("g", "u", "v").union(edges.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("g", "u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    hung = both.where(F.col("v") > F.col("u")).join(least, ["g", "u"])
+    least = both.groupBy("g", "u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = spread_join(both.where(F.col("v") > F.col("u")), least, ["g", "u"], "n", ["v"])
     return hung.select("g", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Edges point from the larger node to the smaller one.
     down = edges.select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("g", "u").agg(F.min("v").alias("m"))
-    hung = down.join(least, ["g", "u"]).where(F.col("v") != F.col("m")).select("g", F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("g", "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = spread_join(down, least, ["g", "u"], "n", ["v"]).where(F.col("v") != F.col("m"))
+    hung = hung.select("g", F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("g", "u", F.col("m").alias("v"))).distinct()
 
 

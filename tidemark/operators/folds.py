@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.operators import ranking
-
 
 def time_folds(
     df: DataFrame, date: str = "published", min_train: int = 3000, min_test: int = 500,

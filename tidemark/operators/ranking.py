@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidemark.operators.spread import spread_join
+
 HASH_BUCKETS_HEX = 3  # first hex digits of an md5: 4096 even buckets per group
 
 
@@ -57,11 +59,14 @@ def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
 def _with_buckets(points: DataFrame, by: list[str], key: str, buckets: int, few_groups: bool) -> DataFrame:
     """Ordered buckets of about equal size by approximate cut points."""
     marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = points.groupBy(*by).agg(F.percentile_approx(key, marks, F.lit(1000)).alias("_cuts"))
+    cut = F.percentile_approx(key, marks, F.lit(1000)).alias("_cuts")
     if not by:
-        joined = points.withColumn("_cuts", cuts.scalar())
+        joined = points.withColumn("_cuts", points.agg(cut).scalar())
+    elif few_groups:
+        joined = points.join(F.broadcast(points.groupBy(*by).agg(cut)), by)
     else:
-        joined = points.join(F.broadcast(cuts) if few_groups else cuts, by)
+        cuts = points.groupBy(*by).agg(cut, F.count(F.lit(1)).alias("_points"))
+        joined = spread_join(points, cuts, by, "_points", [key]).drop("_points")
     return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemark.functions.columns import flag
 from tidemark.operators import ranking
+from tidemark.operators.spread import spread_join
 
 CHUNK = 100_000
 
@@ -48,8 +49,9 @@ def date_groups(dates: DataFrame, pos: str = "pos", date: str = "date", chunk: i
     inside = F.sum("_break").over(ordered.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_in", inside).join(sums, "_chunk")
     rows = rows.withColumn("group_no", 1 + F.col("_before") + F.col("_in")).drop("_home", "_chunk", "_break", "_in", "_before")
-    starts = rows.groupBy("group_no").agg(F.min(pos).alias("_start"))
-    return rows.join(starts, "group_no").withColumn("in_group", F.col(pos) - F.col("_start") + 1).drop("_start")
+    starts = rows.groupBy("group_no").agg(F.min(pos).alias("_start"), F.count(F.lit(1)).alias("_n"))
+    rows = spread_join(rows, starts, ["group_no"], "_n", [pos])
+    return rows.withColumn("in_group", F.col(pos) - F.col("_start") + 1).drop("_start", "_n")
 
 
 def _numbered(panel: DataFrame, order: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.components import components
 from tidemark.operators.ranking import hash_key
+from tidemark.operators.spread import spread_join
 from tidemark.session import cut_lineage
 
 MAX_PIVOTS = 1024
@@ -132,5 +133,6 @@ def vector_clusters(
         .when((F.col("_n") > 1) & some, F.col("rep"))
         .otherwise(F.lit(-1))
         .alias("cluster"),
+        "_n",
     )
-    return rows.join(labels, ["block", "v"]).select(F.col("id").alias(key), F.col("block").alias(block), "cluster")
+    return spread_join(rows, labels, ["block", "v"], "_n", ["id"]).select(F.col("id").alias(key), F.col("block").alias(block), "cluster")

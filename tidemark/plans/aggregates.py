@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import flag
 from tidemark.operators import aggregates as agg, clean, joins, labels, prices
-from tidemark.operators.labels import PRODUCTS
 from tidemark.plans.registry import query
 
 
@@ -19,20 +17,7 @@ def daily_news_sums(t):
     return agg.daily_news_sums(t.news, t.sources_class)
 
 
-RATIOS = """
-    r0 as (select company, date, cast(sum(positive) as bigint) positive, cast(sum(negative) as bigint) negative,
-      cast(sum(neutral) as bigint) neutral, cast(sum(label_0) as bigint) label_0, cast(sum(label_1) as bigint) label_1,
-      cast(sum(positive*label_1) as bigint) positive_label_1, cast(sum(negative*label_1) as bigint) negative_label_1
-      from onehot group by company, date),
-    ratios as (select *, positive - positive_label_1 positive_label_0, negative - negative_label_1 negative_label_0,
-      coalesce(cast(positive_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_pos_label_1,
-      coalesce(cast(negative_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_neg_label_1,
-      coalesce(cast(positive - positive_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_pos_label_0,
-      coalesce(cast(negative - negative_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_neg_label_0
-      from r0)"""
-
-
-@query("daily_news_ratios", f"with {RATIOS} select * from ratios")
+@query("daily_news_ratios", "select * from ratios")
 def daily_news_ratios(t):
     return agg.daily_news_ratios(t.news)
 

@@ -8,7 +8,7 @@ from tidemark.operators import classifiers as cl, clean, folds, prices, regressi
 from tidemark.operators.labels import PRODUCTS
 from tidemark.operators.reshape import union_all
 from tidemark.plans import study
-from tidemark.plans.panels import feature_table, training_texts
+from tidemark.plans.panels import feature_table, ratio_panel, training_texts
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import Tables
@@ -103,6 +103,12 @@ def panel_ols_specs(t):
     return fit(model_panel(t), ar_specs() + state_specs("uncert") + state_specs("illiq"))
 
 
+@query("panel_ols_daily")
+def panel_ols_daily(t):
+    """The eight AR models on price days instead of events."""
+    return fit(ratio_panel(t), ar_specs())
+
+
 @query("panel_ols_crossed")
 def panel_ols_crossed(t):
     return fit(model_panel(t), crossed_specs())
@@ -159,7 +165,7 @@ def model_compare(t):
 
 # -- classifiers --------------------------------------------------------------
 
-FEATURES = ["positive", "negative", *PRODUCTS[:4], "uncert", "positive_label_1_uncert", "negative_label_1_uncert"]
+FEATURES = ["positive", "negative", "neutral", "label_0", "label_1", POS1, NEG1, "uncert", "positive_label_1_uncert", "negative_label_1_uncert"]
 
 
 def direction_rows(t: Tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tidemark.functions.columns import sum0
-from tidemark.operators import folds, joins, labels, prices, ranking, reference_dates as ref, reshape
+from tidemark.operators import folds, labels, prices, ranking, reference_dates as ref, reshape
 from tidemark.operators.aggregates import totals
 from tidemark.plans import study
 from tidemark.plans.registry import query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates as agg, event_panel as ep, joins, labels, prices
+from tidemark.operators import aggregates as agg, clean, event_panel as ep, joins, labels, prices
 from tidemark.operators.labels import PRODUCTS
 from tidemark.plans import study
 from tidemark.plans.registry import query
@@ -17,7 +17,7 @@ DAILY_LIST = ", ".join(DAILY)
 
 @query("daily_feature_table", """
     with f as (select b.symbol, b.date, case when ("close"-"open")/nullif("open",0) > 0 then 1 else 0 end returns_binary, d.* exclude (company, date)
-      from bars b join daily_news d on b.symbol = d.company and b.date = d.date),
+      from bars b join daily_all d on b.symbol = d.company and b.date = d.date),
     u as (select date, greatest(0, coalesce(1 - cast(sum(negative) as double)/nullif(sum(positive)+sum(negative),0), 0)) uncert from f group by date)
     select f.* exclude (symbol), uncert, positive_label_1*uncert positive_label_1_uncert, negative_label_1*uncert negative_label_1_uncert
     from f join u on f.date = u.date""")
@@ -26,13 +26,36 @@ def daily_feature_table(t):
 
 
 def feature_table(t):
-    """Price days with news, day uncertainty and its products; price columns dropped."""
-    from tidemark.operators.clean import drop_columns
-
-    rows = joins.stock_with_news(prices.with_returns(t.bars), study.daily_news(t), "inner")
+    """Price days with any news, day uncertainty and its products; price columns dropped."""
+    rows = joins.stock_with_news(prices.with_returns(t.bars), agg.daily_label_sums(t.news), "inner")
     rows = joins.day_lookup(rows, agg.daily_uncertainty(rows))
     rows = labels.times(rows, "uncert", ["positive_label_1", "negative_label_1"])
-    return drop_columns(rows, "open", "high", "low", "close", "volume", "dividends", "stock_splits", "returns", "index", "symbol")
+    return clean.drop_columns(rows, "open", "high", "low", "close", "volume", "dividends", "stock_splits", "returns", "index", "symbol")
+
+
+RATIO_KEPT = ["positive_label_1", "negative_label_1", "positive_label_0", "negative_label_0",
+              "rel_pos_label_1", "rel_neg_label_1", "rel_pos_label_0", "rel_neg_label_0"]
+
+
+def ratio_panel(t):
+    """One row per price day: abnormal return or 0, controls, and news counts and shares or 0.
+
+    Later events overwrite earlier ones here, and an event needs five estimation rows.
+    """
+    rows = joins.stock_with_news(study.study(t, keep="last", min_est_rows=5), agg.daily_news_ratios(t.news))
+    rows = rows.withColumn("const", F.lit(1.0))
+    kept = ["ar", "const", "dividends", "volume", "market_cap", "surprise_percent", *RATIO_KEPT]
+    return rows.select("symbol", "date", *kept).na.fill(0, kept)
+
+
+@query("daily_ratio_panel", f"""
+    with {event_rows("symmetric", "last", 5)}
+    select s.symbol, s.date, round(coalesce(st.ar, 0), 6) + 0 ar, 1.0::double const, dividends, volume, round(market_cap, 3) market_cap,
+     round(coalesce(surprise_percent, 0), 6) + 0 surprise_percent, {", ".join(f"coalesce({c}, 0) {c}" for c in RATIO_KEPT)}
+    from stock s left join study st on s.symbol = st.symbol and s.pos = st.pos
+    left join ratios r on s.symbol = r.company and s.date = r.date""")
+def daily_ratio_panel(t):
+    return rounded(rounded(ratio_panel(t), 6, "ar", "surprise_percent"), 3, "market_cap")
 
 
 @query("stock_news_left", """

@@ -74,6 +74,18 @@ VIEWS: dict[str, str] = {
         from onehot join sources_class using (source)
         where b_org = 1 and (relevant > 0 or traditional > 0)
         group by company, date""",
+    "daily_all": """
+        select company, date, cast(sum(positive) as bigint) positive, cast(sum(negative) as bigint) negative,
+         cast(sum(neutral) as bigint) neutral, cast(sum(label_0) as bigint) label_0, cast(sum(label_1) as bigint) label_1,
+         cast(sum(positive*label_1) as bigint) positive_label_1, cast(sum(negative*label_1) as bigint) negative_label_1
+        from onehot group by company, date""",
+    "ratios": """
+        select *, positive - positive_label_1 positive_label_0, negative - negative_label_1 negative_label_0,
+         coalesce(cast(positive_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_pos_label_1,
+         coalesce(cast(negative_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_neg_label_1,
+         coalesce(cast(positive - positive_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_pos_label_0,
+         coalesce(cast(negative - negative_label_1 as double) / nullif(positive+negative+neutral, 0), 0) rel_neg_label_0
+        from daily_all""",
     "market": """
         select i.date, market_return, lead(market_return) over (order by i.date) market_return_yesterday,
          vix_close, vix_return, lead(vix_return) over (order by i.date) vix_return_yesterday

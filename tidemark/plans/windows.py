@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates as dt
 from tidemark.operators import asof, event_panel as ep, event_study as es, joins, prices, rolling
-from tidemark.operators.labels import PRODUCTS, interactions, one_hot
+from tidemark.operators.labels import PRODUCTS, one_hot
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.sql_views import Z95, event_rows
