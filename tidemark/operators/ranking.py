@@ -29,7 +29,8 @@ def ranked(df: DataFrame, by: list[str], order: list, bucket: Column, name: str
 
     `bucket` must rise with the order: rows of a lower bucket come first. The
     row numbering and the join of the offsets share one shuffle, keyed by
-    (group, bucket). `total`, if named, gets the size of the group.
+    (group, bucket). `total`, if named, gets the size of the group. Rows whose
+    group key is missing belong to no group and are left out.
     """
     keys = by + ["_bucket"]
     rows = df.withColumn("_bucket", bucket)
