@@ -1,5 +1,6 @@
 """Queries of this folder by name, and their SQL where SQL can say them."""
 
+import corpus_pipeline
 from tidemark.llm import bpe_tree, crf, hmm, nn_descent, packing, pii, rendezvous, repair, simhash, topk
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_repair_ids": repair.op8_repair_ids,
     "op9_hmm_lm": hmm.op9_hmm_lm,
     "op10_nn_descent": nn_descent.op10_nn_descent,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
