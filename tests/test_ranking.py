@@ -73,16 +73,32 @@ def test_metrics_without_hits(spark):
     assert rows(agg.binary_metrics(df, "y", "p")) == [(0.5, 0.0, 0.0, 0.0)]
 
 
-def test_title_parts_lose_nothing(spark):
-    made = [(1, f"2020-01-0{1 + i % 2} 00:00:00", f"{i:03d}", f"t{i};") for i in range(50)]
-    df = spark.createDataFrame(made, "company int, published string, news_id string, title string").withColumn(
-        "published", F.to_timestamp("published")
-    )
-    out = agg.title_texts(df, part_size=7).orderBy("date", "part").collect()
-    for day in (0, 1):
-        text = "".join(r["text"] for r in out if r["date"].day == 1 + day)
-        assert text == "".join(f"t{i};" for i in range(50) if i % 2 == day)
-        assert max(r["text"].count(";") for r in out) <= 7
+def news_rows(spark, *made):
+    df = spark.createDataFrame(list(made), "company int, published string, news_id string, title string")
+    return df.withColumn("published", F.to_timestamp("published"))
+
+
+def test_titles_join_whole_days(spark):
+    df = news_rows(spark, *[(1, f"2020-01-0{1 + i % 2} 00:00:00", f"{i:03d}", f"t{i};") for i in range(50)])
+    out = agg.title_texts(df).orderBy("date").collect()
+    assert [r["text"] for r in out] == ["".join(f"t{i};" for i in range(50) if i % 2 == day) for day in (0, 1)]
+
+
+def test_titles_follow_fractions_of_seconds(spark):
+    df = news_rows(
+        spark, (1, "2020-01-01 00:00:01", "a", "C"), (1, "2020-01-01 00:00:00.5", "a", "B"), (1, "2020-01-01 00:00:00", "a", "A"),
+        (2, None, "b", "Y"), (2, None, None, "X"),
+    )
+    assert {r["company"]: r["text"] for r in agg.title_texts(df).collect()} == {1: "ABC", 2: "XY"}
+
+
+def test_positions_follow_time_and_put_missing_first(spark):
+    df = news_rows(
+        spark, (1, "2020-01-01 00:00:01", "a", "d"), (1, "2020-01-01 00:00:00.5", "b", "c"), (1, None, "a", "a"),
+        (1, "2020-01-01 00:00:00", None, "b"),
+    )
+    out = ranking.ranked(df, ["company"], ["published", "news_id"], F.struct("published", F.substring("news_id", 1, 2)))
+    assert [r["title"] for r in out.orderBy("pos").collect()] == list("abcd")
 
 
 def test_date_groups(spark):

@@ -28,7 +28,7 @@ def made():
 @pytest.mark.parametrize("parts", [1, 3])
 def test_ingest_and_sums(spark, made, parts):
     folder = arrive(spark, made, parts)
-    read = lambda: streams.read_folder(spark, folder, SCHEMA, "*.parquet", 1)
+    read = lambda: streams.read_table(spark, folder, SCHEMA, 1)
     path = new_path(spark, "in")
     streams.ingest(read(), path, new_path(spark, "c")).awaitTermination()
     assert spark.read.parquet(path).count() == len(made)
@@ -45,7 +45,7 @@ def test_ingest_and_sums(spark, made, parts):
 
 def test_first_seen(spark, made):
     folder = arrive(spark, made, 3)
-    seen = streams.first_seen(streams.read_folder(spark, folder, SCHEMA, "*.parquet", 1), ["k"], "ts", "90 days")
+    seen = streams.first_seen(streams.read_table(spark, folder, SCHEMA, 1), ["k"], "ts", "90 days")
     path = new_path(spark, "seen")
     streams.run_to_table(seen, path, new_path(spark, "c"))
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "b"]

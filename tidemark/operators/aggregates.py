@@ -145,18 +145,9 @@ def auc_gini(df: DataFrame, label: str, score: str) -> DataFrame:
     return auc.withColumn("gini", 2 * F.col("auc") - 1)
 
 
-def title_texts(news: DataFrame, part_size: int = 10_000, order: tuple[str, ...] = ("published", "news_id")) -> DataFrame:
-    """Titles of a company and day joined to one text, in order of arrival.
-
-    Positions come from bucketed ranks, so a company-day of any size is built
-    part by part: a day with up to `part_size` titles is one row, a larger one
-    goes on in the next part and loses nothing.
-    """
+def title_texts(news: DataFrame, order: tuple[str, ...] = ("published", "news_id")) -> DataFrame:
+    """Titles of a company and day joined to one text, in order of arrival (rows without a time or id first)."""
     rows = news.select("company", F.to_date("published").alias("date"), *order, "title").where("title is not null")
-    spread = F.concat_ws("|", F.col(order[0]).cast("string"), F.substring(order[1], 1, 3))
-    pos = ranking.ranked(rows, ["company", "date"], [*order, "title"], spread, "_pos")
-    part = F.floor((F.col("_pos") - 1) / part_size).cast("int")
-    grouped = pos.groupBy("company", "date", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "title"))).alias("_t")
-    )
-    return grouped.select("company", "date", "part", F.concat_ws("", F.col("_t.title")).alias("text"))
+    titles = F.sort_array(F.collect_list(F.struct(*order, "title")))
+    grouped = rows.groupBy("company", "date").agg(titles.alias("_t"))
+    return grouped.select("company", "date", F.concat_ws("", F.col("_t.title")).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.session import broadcast_if_small
 
@@ -27,14 +27,18 @@ def windowed_search(
 ) -> DataFrame:
     """Search hits in overlapping windows of `days` days, one starting each day.
 
-    A hit is a title that holds the term. Terms meet titles by their first
-    word, not one by one, and a hit lists its own windows: both ranges turn
-    into equal keys. A term searched under two kinds gives two hits.
+    A hit is a title that holds the words of the term one after the other,
+    whatever signs stand around them. Titles list their runs of as many words
+    as terms have, so that terms meet titles by equal keys and not one by one;
+    a hit lists its own windows in the same way. A term searched under two
+    kinds gives two hits; a term without words gives none.
     """
-    tokens = F.array_distinct(F.split(F.lower(title), r"\s+"))
-    rows = news.select("*", F.explode(tokens).alias("_word"))
-    keyed = terms.withColumn("_word", F.get(F.split(F.lower("term"), r"\s+"), F.lit(0)))
-    hits = rows.join(broadcast_if_small(keyed), "_word").where(F.contains(F.lower(title), F.lower("term"))).drop("_word")
+    keyed = terms.withColumn("_words", _words("term")).where(F.size("_words") > 0)
+    lengths = sorted(r[0] for r in keyed.select(F.size("_words")).distinct().collect())
+    runs = F.flatten(F.array(*[_runs("_title", n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    rows = news.withColumn("_title", _words(title)).select("*", F.explode(F.array_distinct(runs)).alias("_run")).drop("_title")
+    keyed = keyed.withColumn("_run", F.array_join("_words", " ")).drop("_words")
+    hits = rows.join(broadcast_if_small(keyed), "_run").drop("_run")
     day = F.to_date(published)
     first = F.greatest(F.date_sub(day, days - 1), F.lit(start).cast("date"))
     last = F.least(day, F.date_sub(F.lit(end).cast("date"), 1))
@@ -42,6 +46,18 @@ def windowed_search(
     return hits.withColumn("window_start", F.explode(windows))
 
 
+def _words(column: str) -> Column:
+    """Words in lower case: runs of letters, digits and underscores."""
+    return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def _runs(words: str, n: int) -> Column:
+    """All runs of n words, joined by spaces."""
+    last = F.size(words) - n
+    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
+
+
 def entity_head(entities: DataFrame, n: int, *order) -> DataFrame:
     """The first n entities in a stated order."""
     return entities.orderBy(*order).limit(n)

@@ -12,18 +12,24 @@ LAG_DAYS = (0.0, 0.25, 0.5, 0.75)
 def lag_scores(news: DataFrame, bars: DataFrame, lags: tuple[float, ...] = LAG_DAYS) -> DataFrame:
     """|correlation| of net sentiment with the day's return per source and lag.
 
-    Each row goes out once per lag and is summed by (source, company, day, lag)
+    The day rolls to the next open one and keeps its time of day until the lag
+    is taken off. A source whose sentiment or returns never change has no
+    score. Each row goes out once per lag and is summed by (source, company, day, lag)
     where it was read, so only daily sums meet the prices.
     """
-    opened = next_open_day(F.to_date("published")).cast("timestamp")
+    time_of_day = F.unix_timestamp(F.col("published").cast("timestamp")) - F.unix_timestamp(F.to_date("published").cast("timestamp"))
+    opened = F.unix_timestamp(next_open_day(F.to_date("published")).cast("timestamp")) + time_of_day
     lag = F.explode(F.array(*[F.lit(l) for l in lags])).alias("lag_days")
     rows = news.select("source", "company", "positive", "negative", opened.alias("_open"), lag)
-    moved = F.to_date(F.timestamp_seconds(F.unix_timestamp("_open") - (F.col("lag_days") * 86400).cast("bigint")))
+    moved = F.to_date(F.timestamp_seconds(F.col("_open") - (F.col("lag_days") * 86400).cast("bigint")))
     net = rows.groupBy("source", "company", "lag_days", moved.alias("date")).agg(
         F.sum(F.col("positive") - F.col("negative")).cast("double").alias("net")
     )
     joined = net.withColumnRenamed("company", "symbol").join(bars.select("symbol", "date", "returns"), ["symbol", "date"])
-    return joined.groupBy("source", "lag_days").agg(F.round(F.abs(F.corr("net", "returns")), 9).alias("score"))
+    both = F.col("net").isNotNull() & F.col("returns").isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col("net"))) * F.stddev_pop(F.when(both, F.col("returns")))
+    corr = F.try_divide(F.covar_pop("net", "returns"), spread)
+    return joined.groupBy("source", "lag_days").agg(F.round(F.abs(corr), 9).alias("score"))
 
 
 def best_lags(news: DataFrame, bars: DataFrame, lags: tuple[float, ...] = LAG_DAYS) -> DataFrame:

@@ -106,7 +106,7 @@ def label_crosstab(t):
 
 
 @query("daily_title_concat", """
-    select company, cast(published as date) date, 0 part, string_agg(title, '' order by published, news_id, title) text
+    select company, cast(published as date) date, string_agg(title, '' order by published nulls first, news_id nulls first, title) text
     from news group by all""")
 def daily_title_concat(t):
     return agg.title_texts(t.news)

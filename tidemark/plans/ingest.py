@@ -12,7 +12,7 @@ from tidemark.operators.labels import one_hot
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.scalars import STRIP
-from tidemark.session import new_path
+from tidemark.session import cut_lineage, new_path
 from tidemark.sources import files
 from tidemark.streaming import streams
 
@@ -36,7 +36,7 @@ SPLIT = "case when doc_id % 10 = 0 then 'test' when doc_id % 10 = 1 then 'evalua
 @query("labelled_splits", f"""
     select {SPLIT} split, {STRIP.format("concat(title, '. ', text)")} text, label from articles""")
 def labelled_splits(t):
-    rows = t.articles.withColumn("split", F.expr(SPLIT))
+    rows = cut_lineage(t.articles.select("title", "text", "label", F.expr(SPLIT).alias("split")))
     folders = {}
     for split in ("train", "evaluation", "test"):
         part = rows.where(F.col("split") == split).select("title", "text", "label")
@@ -49,8 +49,9 @@ def labelled_splits(t):
      length({STRIP.format("text")}) chars from articles""")
 def labelled_union(t):
     folders = {}
+    articles = cut_lineage(t.articles)
     for label in (0, 1):
-        part = t.articles.where(F.col("label") == label)
+        part = articles.where(F.col("label") == label)
         part = part.select("title", "text", "subject", F.col("published").cast("string").alias("date"))
         folders[label] = files.write_delimited(part, new_path(t.spark, f"articles-{label}"))
     rows = files.labelled_articles(t.spark, folders)
@@ -73,7 +74,7 @@ SINK_SCHEMA = "company bigint, date date, positive bigint, negative bigint"
 @query("result_sinks", " union all ".join(
     f"select '{k}' kind, company, date, positive, negative from daily_news" for k in KINDS))
 def result_sinks(t):
-    daily = study.daily_news(t).select("company", "date", "positive", "negative")
+    daily = cut_lineage(study.daily_news(t).select("company", "date", "positive", "negative"))
     back = []
     for kind in KINDS:
         path = files.sink(daily, new_path(t.spark, f"sums-{kind}"), kind)
@@ -103,8 +104,9 @@ TERMS = """select distinct split_part(p_name, ' ', 2) term, 'name' kind from par
 
 @query("windowed_search", f"""
     with terms as ({TERMS}),
-    hits as (select kind, term, cast(published as date) d from news join terms on contains(lower(title), lower(term))
-      and list_contains(string_split(lower(title), ' '), lower(term))),
+    said as (select published, ' ' || trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' s from news),
+    asked as (select kind, term, ' ' || trim(regexp_replace(lower(term), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) || ' ' a from terms),
+    hits as (select kind, term, cast(published as date) d from said join asked on contains(s, a)),
     w as (select kind, term, d - o.i window_start from hits, (select cast(unnest(range(5)) as int) i) o)
     select kind, term, window_start, count(*) hits from w
     where window_start >= date '1996-01-01' and window_start < date '1998-09-01' group by all""")
@@ -183,8 +185,7 @@ def entity_tags(t):
 
 
 def event_stream(t):
-    schema = t.table("events").schema
-    rows = streams.read_folder(t.spark, t.folder, schema, "events.parquet")
+    rows = streams.read_table(t.spark, f"{t.folder}/events.parquet", t.table("events").schema)
     kind = F.col("event_type")
     return rows.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",

@@ -100,9 +100,9 @@ def uncertainty_lookup(t):
       from bars b left join market m on b.date = m.date),
     l as (select symbol, date, case when s >= 1.6448536269514722 then 1 when s <= -1.6448536269514722 then 2 else 0 end label from a),
     n as (select company, cast(published as date) date, string_agg(title, '' order by published, news_id, title) text from news group by all)
-    select label, 0 part, text from l join n on l.symbol = n.company and l.date = n.date""")
+    select label, text from l join n on l.symbol = n.company and l.date = n.date""")
 def relevance_training_set(t):
-    return training_texts(t).select("label", "part", "text")
+    return training_texts(t).select("label", "text")
 
 
 def training_texts(t):
@@ -263,10 +263,10 @@ def day_panel(t):
 
 @query("event_whitelist", f"""
     with {featured_sql("symmetric", False)},
-    wanted as (select symbol, event_only_index from feat where event_only_index is not null
-      group by all having sum(surprise_percent) > 0)
-    select symbol, date, event_only_index from feat semi join wanted using (symbol, event_only_index)""")
+    wanted as (select symbol, event_only_index from feat where event_only_index is not null group by all)
+    select symbol, date, event_only_index from ({panel_sql("pre_event", "max")}) s
+    semi join wanted using (symbol, event_only_index)""")
 def event_whitelist(t):
-    rows = study.featured(t).where(F.col("event_only_index").isNotNull())
-    wanted = rows.groupBy("symbol", "event_only_index").agg(F.sum("surprise_percent").alias("s")).where("s > 0")
-    return joins.members(rows, wanted, ["symbol", "event_only_index"]).select("symbol", "date", "event_only_index")
+    """The events of the second stage: those of the pre-event panel that the first panel holds too."""
+    rows = study.listed(study.panel(t, "pre_event", "last"), study.panel(t))
+    return rows.select("symbol", "date", "event_only_index")

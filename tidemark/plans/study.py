@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidemark.operators import aggregates as agg, asof, event_panel as ep, event_study as es, prices
+from tidemark.operators import aggregates as agg, asof, event_panel as ep, event_study as es, joins, prices
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import Tables
 
@@ -38,3 +38,9 @@ def featured(t: Tables, style: str = "symmetric", fill_missing: bool = False) ->
 
 def panel(t: Tables, style: str = "symmetric", date_of: str = "first", fill_missing: bool = False) -> DataFrame:
     return ep.event_panel(featured(t, style, fill_missing), date_of)
+
+
+def listed(rows: DataFrame, first_stage: DataFrame) -> DataFrame:
+    """Panel rows of the events that the first stage's panel holds."""
+    keys = ["symbol", "event_only_index"]
+    return joins.members(rows, first_stage.select(*keys).distinct(), keys)

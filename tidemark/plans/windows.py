@@ -73,7 +73,7 @@ def rolling_news_labels(t):
     from tidemark.operators.ranking import ranked
 
     order = ["published", "news_id", "title", "finbert", "fakebert"]
-    bucket = F.concat_ws("|", F.col("published").cast("string"), F.substring("news_id", 1, 2))
+    bucket = F.struct("published", F.substring("news_id", 1, 2))
     rows = ranked(one_hot(t.news), ["company"], order, bucket, "_pos")
     rows = rolling.rolling_sums(rows, ["company"], "_pos", dict(NEWS_SHORT), ep.LAGS, complete=True)
     return rows.select("news_id", "published", "company", *[f"{p}_{n}" for n in ep.LAGS for _, p in NEWS_SHORT])
@@ -169,9 +169,10 @@ def business_day_roll(t):
 
 @query("source_lag_search", f"""
     with {HOLIDAY_SQL},
-    n as (select source, company, lag, cast(cast(open_day as timestamp) - lag * interval 1 hour as date) date,
+    n as (select source, company, lag,
+       cast(cast(open_day as timestamp) + (published::timestamp - date_trunc('day', published::timestamp)) - lag * interval 1 hour as date) date,
        cast(sum(positive - negative) as double) net
-      from onehot join roll on onehot.date = roll.d cross join (values (0), (6), (12), (18)) g(lag) group by all),
+      from onehot join roll on cast(published as date) = roll.d cross join (values (0), (6), (12), (18)) g(lag) group by all),
     s as (select source, lag, round(abs(corr(net, ("close"-"open")/nullif("open",0))), 9) score
       from n join bars b on n.company = b.symbol and n.date = b.date group by source, lag)
     select source, lag / 24.0::double as lag_days, score from (select *, row_number() over (partition by source order by score desc nulls last, lag) rn from s) t

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_folder(spark: SparkSession, folder: str, schema, pattern: str, files_per_batch: int | None = None) -> DataFrame:
-    """Rows of the Parquet files that arrive in a folder."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def read_table(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Rows of a Parquet table, one file or a folder in which files arrive."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # As a pattern the path may be a file as well.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _batch_writer(path: str):
