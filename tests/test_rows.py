@@ -102,9 +102,11 @@ def test_rare_values_fold(spark):
     assert sorted(str(r[0]) for r in labels.fold_rare(df, "s", threshold=1).collect()) == ["None", "Other", "a", "a", "a"]
 
 
-def test_too_many_categories_refused(spark):
-    with pytest.raises(ValueError):
-        labels.categories(spark.range(20).selectExpr("string(id) s"), "s", limit=5)
+def test_categories_without_limit(spark):
+    df = spark.range(1500).selectExpr("string(id % 1300) s").union(spark.sql("select cast(null as string)"))
+    assert labels.categories(df, "s") == sorted(str(i) for i in range(1300))
+    out = labels.indexed(df, "s", "v").select("s", "v").collect()
+    assert {r["v"].size for r in out} == {1300} and all(len(r["v"].indices) == (r["s"] is not None) for r in out)
 
 
 def test_balance_of_nothing_is_missing(spark):

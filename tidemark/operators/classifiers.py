@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.text import words
@@ -32,8 +36,8 @@ def _assemble(features: list[str], scaled: bool) -> list:
 def model_for(kind: str, **params):
     made = {
         "lr": lambda: LogisticRegression(),
-        "rf": lambda: RandomForestClassifier(seed=SEED, numTrees=20),
-        "gbt": lambda: GBTClassifier(seed=SEED, maxIter=10),
+        "rf": lambda: RandomForestClassifier(seed=SEED, numTrees=100),
+        "gbt": lambda: GBTClassifier(seed=SEED, maxIter=100),
     }[kind]()
     return made.setParams(**params) if params else made
 
@@ -78,31 +82,57 @@ def train_and_test(df: DataFrame, features: list[str], label: str, kind: str, ke
     return parts[0].unionByName(parts[1])
 
 
-GRIDS = {
-    "lr": {"regParam": [0.01, 1.0], "tol": [1e-6, 1e-3]},
-    "rf": {"numTrees": [5, 20], "maxDepth": [3, 5]},
-    "gbt": {"maxIter": [5, 10], "maxDepth": [3]},
-}
+# Trials and ranges of the studied searches, said in the models' own parameters. The smallest node
+# that may be split and penalties inside boosting have no counterpart here.
+TRIALS = {"lr": 100, "rf": 100, "gbt": 200}
 
 
-def search(df: DataFrame, features: list[str], label: str, kind: str, grid: dict | None = None, parallelism: int = 4) -> DataFrame:
-    """Validation F1 of every parameter setting, the best marked and refitted."""
-    rows = cut_lineage(df.select(F.col(label).cast("double").alias("label"), *features))
-    model = model_for(kind)
-    builder = ParamGridBuilder()
-    for name, values in (grid or GRIDS[kind]).items():
-        builder = builder.addGrid(model.getParam(name), values)
-    settings = builder.build()
-    found = TrainValidationSplit(
-        estimator=Pipeline(stages=_assemble(features, kind == "lr") + [model]), estimatorParamMaps=settings,
-        evaluator=_weighted_f1(), trainRatio=0.8, seed=SEED, parallelism=parallelism,
-    ).fit(rows)
-    best = max(range(len(settings)), key=lambda i: found.validationMetrics[i])
+def draw_settings(kind: str, trials: int, seed: int = SEED) -> list[dict]:
+    """Repeatable random settings from the search space of one kind of model."""
+    rng = random.Random(f"{kind}-{seed}")
+    whole = lambda lo, hi: rng.randint(lo, hi)
+    spaces = {
+        # The penalty is one over C, which is drawn on a logarithmic scale.
+        "lr": lambda: {"regParam": 1 / 10 ** rng.uniform(-2, 0), "tol": rng.uniform(1e-6, 1e-3)},
+        "rf": lambda: {"numTrees": whole(5, 200), "maxDepth": whole(3, 30), "minInstancesPerNode": whole(3, 10)},
+        "gbt": lambda: {
+            "maxDepth": max(1, math.ceil(math.log2(whole(2, 256)))), "minInstancesPerNode": whole(1, 100),
+            "subsamplingRate": rng.uniform(0.4, 1.0), "featureSubsetStrategy": str(round(rng.uniform(0.4, 1.0), 3)),
+        },
+    }
+    return [spaces[kind]() for _ in range(trials)]
+
+
+def search(
+    df: DataFrame, features: list[str], label: str, kind: str, key: str, trials: int | None = None, parallelism: int = 4
+) -> DataFrame:
+    """Validation F1 of every drawn setting; the best is fitted again and scored on held-out rows.
+
+    A third of the rows is held out and a fifth of the rest validates, both by
+    exact splits on `key`, so the rows do not depend on how they are stored.
+    """
+    rows = ranking.split(df.withColumn("label", F.col(label).cast("double")), key, 0.33)
+    inner = ranking.split(rows.where("split = 'train'").withColumn("_key", F.concat(F.lit("v|"), F.col(key))), "_key", 0.2, out="part")
+    inner = cut_lineage(inner.select("label", "part", *features))
+    test = cut_lineage(rows.where("split = 'test'").select("label", *features))
+    train, valid = inner.where("part = 'train'"), inner.where("part = 'test'")
+    pipeline = lambda setting: Pipeline(stages=_assemble(features, kind == "lr") + [model_for(kind, **setting)])
+    settings = draw_settings(kind, trials or TRIALS[kind])
+
+    def score(setting: dict) -> float:
+        return _weighted_f1().evaluate(pipeline(setting).fit(train).transform(valid))
+
+    with ThreadPool(min(parallelism, len(settings))) as pool:
+        found = pool.map(inheritable_thread_target(df.sparkSession)(score), settings)
+    best = max(range(len(settings)), key=lambda i: found[i])
+    final = _weighted_f1().evaluate(pipeline(settings[best]).fit(inner).transform(test))
     made = [
-        (kind, ", ".join(f"{p.name}={v}" for p, v in sorted(s.items(), key=lambda e: e[0].name)), float(m), i == best)
-        for i, (s, m) in enumerate(zip(settings, found.validationMetrics))
+        (kind, ", ".join(f"{k}={v}" for k, v in sorted(s.items())), float(m), i == best, float(final) if i == best else None)
+        for i, (s, m) in enumerate(zip(settings, found))
     ]
-    return df.sparkSession.createDataFrame(made, "model string, params string, weighted_f1 double, best boolean")
+    return df.sparkSession.createDataFrame(
+        made, "model string, params string, weighted_f1 double, best boolean, test_weighted_f1 double"
+    )
 
 
 def regularised(df: DataFrame, target: str, features: list[str], alpha: float = 0.1) -> DataFrame:
@@ -117,11 +147,11 @@ def regularised(df: DataFrame, target: str, features: list[str], alpha: float =
 # -- text ---------------------------------------------------------------------
 
 
-def text_pipeline(kind: str, features: int = 1 << 16) -> Pipeline:
+def text_pipeline(kind: str, features: int = 1 << 18) -> Pipeline:
     model = {
-        "lr": lambda: LogisticRegression(regParam=0.01, maxIter=20),
-        "svm": lambda: LinearSVC(regParam=0.01, maxIter=20),
-        "multinomial": lambda: LogisticRegression(regParam=0.01, maxIter=20, family="multinomial"),
+        "lr": lambda: LogisticRegression(regParam=0.01, maxIter=100),
+        "svm": lambda: LinearSVC(regParam=0.01, maxIter=100),
+        "multinomial": lambda: LogisticRegression(regParam=0.01, maxIter=100, family="multinomial"),
     }[kind]()
     return Pipeline(stages=[
         HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
@@ -178,7 +208,7 @@ def time_validation(df: DataFrame, folds: DataFrame, date: str, key: str, kind:
     out = []
     for year in years:
         made = fold_metrics(df.where(F.year(date) < year), df.where(F.year(date) == year), key, kind)
-        out.append(made.select(F.lit(year).alias("test_year"), F.lit(f"Train <= {year - 1}, test {year}").alias("description"), "*"))
+        out.append(made.select(F.lit(year).alias("test_year"), F.lit(f"all before {year}, scored on {year}").alias("description"), "*"))
     return _stack(out)
 
 

@@ -36,7 +36,7 @@ def _mark(edges: DataFrame):
     return tuple(edges.agg(F.count(F.lit(1)), F.sum((h % 1_000_003).cast("decimal(38,0)")), F.bit_xor(h)).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(g, node, root): the smallest node of each component, per graph g.
 
     `edges` has g, u, v with u and v differing; nodes without an edge do not
@@ -44,14 +44,12 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     current = cut_lineage(_small_star(edges.where("u <> v")))
     seen = _mark(current)
-    for _ in range(max_rounds):
+    while True:  # the rounds end: every one that changes something brings nodes nearer to their root
         current = cut_lineage(_small_star(_large_star(current)))
         now = _mark(current)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     members = current.select("g", F.col("u").alias("node"), F.col("v").alias("root"))
     roots = current.select("g", F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return members.union(roots)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.columns import col, flag, ratio, zero
@@ -23,24 +25,28 @@ def one_hot(df: DataFrame, sentiment: str = "finbert", credibility: str = "fakeb
     return df.withColumns(made)
 
 
-def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
+def categories(df: DataFrame, column: str) -> list:
     """The distinct values of a label column, in order.
 
-    They become column names, so their number must be small; the read stops
-    one past the limit and refuses instead of dropping values.
+    They become column names, which the plan holds in any case. For columns
+    with very many values, `indexed` gives one vector column instead.
     """
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(found)
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
-def one_hot_learned(df: DataFrame, *columns: str, limit: int = 1000) -> DataFrame:
+def one_hot_learned(df: DataFrame, *columns: str) -> DataFrame:
     """0/1 columns for the values found in the data."""
-    made = {v.lower(): flag(F.col(c) == v) for c in columns for v in categories(df, c, limit)}
+    made = {v.lower(): flag(F.col(c) == v) for c in columns for v in categories(df, c)}
     return df.withColumns(made)
 
 
+def indexed(df: DataFrame, column: str, out: str) -> DataFrame:
+    """A sparse 0/1 vector over all values found, however many; a missing value has none set."""
+    index = StringIndexer(inputCol=column, outputCol="_index", handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCol="_index", outputCol=out, dropLast=True)
+    return Pipeline(stages=[index, hot]).fit(df).transform(df).drop("_index")
+
+
 def interactions(df: DataFrame, rel_pos: str = "positive", rel_neg: str = "negative") -> DataFrame:
     """Sentiment times credibility, and the same for relevance.
 

@@ -1,10 +1,11 @@
-"""Clusters of dense vectors by an exact ball-partition join.
-
-Vectors go to the cell of their nearest pivot, and also to every other cell
-that a vector within the radius could live in: d(x, p) <= d(x, home) + 2r. The
-triangle inequality makes this exact. Large cells are cut into parts that meet
-two by two, so a task sees a bounded number of rows, and a task reports only
-the links that connect its own vectors, never all near pairs.
+"""Clusters of dense vectors by an exact join of slices.
+
+Unit vectors within a radius of each other are within it along any one
+direction as well. Each block is cut into slices of that width along a fixed
+direction; a vector goes to its own slice and, as a visitor, to the next one,
+so it is placed twice whatever the radius. Large slices are cut into parts that
+meet two by two, so a task sees a bounded number of rows, and a task reports
+only the links that connect its own vectors, never all near pairs.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.operators.components import components
-from tidemark.operators.ranking import hash_key
 from tidemark.operators.spread import spread_join
 from tidemark.session import cut_lineage
 
-MAX_PIVOTS = 1024
+SEED = 42
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -45,20 +45,20 @@ def _local_roots(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _assign(pivots: np.ndarray, radius: float):
+def _assign(radius: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
             x = _stack(pdf["v"])
-            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * x @ pivots.T))
             # A zero vector is at distance 1 from all in cosine terms: near nobody.
-            alive = np.abs(x).sum(axis=1) > 0
-            home = d.argmin(axis=1)
-            row, cell = np.nonzero((d <= d[np.arange(len(x)), home][:, None] + 2 * radius + 1e-9) & alive[:, None])
+            alive = np.flatnonzero(np.abs(x).sum(axis=1) > 0)
+            along = np.random.default_rng(SEED).normal(size=x.shape[1])
+            home = np.floor(x[alive] @ (along / np.linalg.norm(along)) / radius).astype(np.int64)
+            row = np.concatenate([alive, alive])
             yield pd.DataFrame({
-                "block": pdf["block"].to_numpy()[row], "cell": cell, "id": pdf["id"].to_numpy()[row],
-                "home": home[row], "v": pdf["v"].to_numpy()[row],
+                "block": pdf["block"].to_numpy()[row], "cell": np.concatenate([home, home + 1]),
+                "id": pdf["id"].to_numpy()[row], "home": np.concatenate([home, home]), "v": pdf["v"].to_numpy()[row],
             })
 
     return run
@@ -72,9 +72,8 @@ def _links(eps: float):
         home, part = pdf["home"].to_numpy(), pdf["part"].to_numpy()
         at_home = home == cell
         near = (1.0 - x @ x.T) <= eps + 1e-12
-        # Home rows meet each other; a visitor is met where the lower cell is.
-        met = (at_home[:, None] & at_home[None, :]) | (at_home[:, None] & (home > cell)[None, :])
-        near &= met | met.T
+        # Home rows meet each other and the visitors; visitors have met at home.
+        near &= at_home[:, None] | at_home[None, :]
         if a != b:
             near &= part[:, None] != part[None, :]
         np.fill_diagonal(near, False)
@@ -86,21 +85,16 @@ def _links(eps: float):
     return run
 
 
-def vector_links(vectors: DataFrame, eps: float, cell_rows: int, part_rows: int) -> DataFrame:
+def vector_links(vectors: DataFrame, eps: float, part_rows: int) -> DataFrame:
     """(u, v) links that connect vectors within cosine distance eps of a block.
 
     `vectors` has block, id, v, one row per distinct vector.
     """
-    n = vectors.count()
-    wanted = min(MAX_PIVOTS, max(1, -(-n // cell_rows)))
-    chosen = vectors.orderBy(hash_key("id"), "id").limit(wanted).select("v").collect()
-    if not chosen:
-        return vectors.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
-    pivots = _unit(np.array([r["v"] for r in chosen], dtype=np.float64))
     kinds = dict(vectors.dtypes)
+    # A little wider than the radius, for what rounding moves over a border.
+    width = max(float(np.sqrt(2 * eps)), 1e-6) * (1 + 1e-9) + 1e-9
     placed = vectors.mapInPandas(
-        _assign(pivots, float(np.sqrt(2 * eps))),
-        f"block {kinds['block']}, cell int, id {kinds['id']}, home int, v {kinds['v']}",
+        _assign(width), f"block {kinds['block']}, cell long, id {kinds['id']}, home long, v {kinds['v']}"
     )
     placed = cut_lineage(placed)
     sizes = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("_m"))
@@ -115,7 +109,7 @@ def vector_links(vectors: DataFrame, eps: float, cell_rows: int, part_rows: int)
 
 
 def vector_clusters(
-    df: DataFrame, key: str, vector: str, block: str, eps: float, cell_rows: int = 50_000, part_rows: int = 2_000
+    df: DataFrame, key: str, vector: str, block: str, eps: float, part_rows: int = 2_000
 ) -> DataFrame:
     """(key, block, cluster): the smallest id of the cluster, or -1 for a lone vector.
 
@@ -124,7 +118,7 @@ def vector_clusters(
     rows = df.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("v"))
     reps = rows.groupBy("block", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n"))
     reps = cut_lineage(reps)
-    links = vector_links(reps.select("block", F.col("rep").alias("id"), "v"), eps, cell_rows, part_rows)
+    links = vector_links(reps.select("block", F.col("rep").alias("id"), "v"), eps, part_rows)
     roots = components(links.withColumn("g", F.lit(0))).select(F.col("node").alias("rep"), "root")
     some = F.exists("v", lambda x: x != 0)
     labels = reps.join(roots, "rep", "left").select(

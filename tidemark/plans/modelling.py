@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import classifiers as cl, clean, folds, prices, regression as reg
+from tidemark.operators import classifiers as cl, clean, event_panel as ep, folds, prices, regression as reg
 from tidemark.operators.labels import PRODUCTS
 from tidemark.operators.reshape import union_all
 from tidemark.plans import study
@@ -45,10 +45,13 @@ def surprise_specs():
 
 
 def crossed_specs():
-    """Surprise times each product; volatility, and both, times each product. No main effects of the crossed states."""
+    """Surprise times each product; all two-way and three-way terms of surprise, volatility and products.
+
+    The crossed states have no main effects.
+    """
     base = (*NO_SURPRISE, *SETS[3])
     s, v, sv = (tuple(f"{p}_{n}" for n in SETS[3]) for p in ("surprise", "vix", "surprise_vix"))
-    return [reg.spec("surprise_x", "ar", *base, *s), reg.spec("vix_x", "ar", *base, *v, "surprise_percent_vix", *sv)]
+    return [reg.spec("surprise_x", "ar", *base, *s), reg.spec("vix_x", "ar", *base, *s, *v, "surprise_percent_vix", *sv)]
 
 
 def model_panel(t: Tables, style: str = "symmetric", date_of: str = "first", fill_missing: bool = False):
@@ -116,7 +119,8 @@ def panel_ols_crossed(t):
 
 @query("panel_ols_surprise")
 def panel_ols_surprise(t):
-    return fit(model_panel(t, "pre_event", "last"), surprise_specs())
+    """On the events of the first stage's panel only."""
+    return fit(study.listed(model_panel(t, "pre_event", "last"), study.panel(t)), surprise_specs())
 
 
 def sentiment_specs(lag, relevance=False):
@@ -135,7 +139,7 @@ def sentiment_specs(lag, relevance=False):
 def sentiment_hypotheses(t):
     """Lag by lag, as an empty balance at one lag must not cost rows at another."""
     panel = cut_lineage(model_panel(t, fill_missing=True))
-    fits = [fit(panel, sentiment_specs(lag, relevance)) for lag in (20, 120) for relevance in (False, True)]
+    fits = [fit(panel, sentiment_specs(lag, relevance)) for lag in ep.LAGS for relevance in (False, True)]
     return union_all(*fits)
 
 
@@ -153,8 +157,10 @@ def regularised_ols(t):
 
 @query("gets_elimination")
 def gets_elimination(t):
-    spec = crossed_specs()[0]
-    return reg.eliminate(reg.moments(model_panel(t), "symbol", columns_of([spec])), spec)
+    """Both models: returns, and the surprise products."""
+    panel = cut_lineage(model_panel(t))
+    steps = [reg.eliminate(reg.moments(panel, "symbol", columns_of([s])), s) for s in crossed_specs()]
+    return union_all(*[d.withColumn("model", F.concat(F.lit(f"{s.name}_"), "model")) for d, s in zip(steps, crossed_specs())])
 
 
 @query("model_compare")
@@ -194,10 +200,19 @@ def gbt_direction(t):
     return cl.train_and_test(direction_rows(t), FEATURES, "returns_binary", "gbt", "key")
 
 
+@query("rf_train_test")
+def rf_train_test(t):
+    return cl.train_and_test(direction_rows(t), FEATURES, "returns_binary", "rf", "key")
+
+
+SEARCH_TRIALS = {"lr": 4, "rf": 3, "gbt": 2}
+
+
 @query("param_search")
 def param_search(t):
-    rows = cut_lineage(feature_table(t))
-    return union_all(*[cl.search(rows, FEATURES, "returns_binary", k) for k in ("lr", "rf", "gbt")])
+    """A few trials of each kind; `search` itself defaults to the studied numbers of trials."""
+    rows = cut_lineage(direction_rows(t))
+    return union_all(*[cl.search(rows, FEATURES, "returns_binary", k, "key", trials=n) for k, n in SEARCH_TRIALS.items()])
 
 
 def labelled_texts(t: Tables):
@@ -247,5 +262,5 @@ def domain_f1_matrix(t):
 
 @query("relevance_model")
 def relevance_model(t):
-    texts = training_texts(t).withColumn("key", F.concat_ws("|", "symbol", "date", "part"))
+    texts = training_texts(t).withColumn("key", F.concat_ws("|", "symbol", "date"))
     return cl.relevance_model(texts, "key")
