@@ -29,17 +29,24 @@ def test_ranked_is_the_plain_rank(spark):
             assert got[i] == (pos, len(ids))
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
-def test_quantiles(spark, buckets):
+@pytest.mark.parametrize("bucket_points", [40, 10_000])
+def test_quantiles(spark, bucket_points):
     made, df = skewed(spark)
-    out = ranking.quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.5, "c": 0.9}, buckets)
+    out = ranking.quantiles(df, ["g"], "x", {"a": 0.25, "b": 0.5, "c": 0.9}, bucket_points)
     for r in out.collect():
         want = np.quantile([m[2] for m in made if m[0] == r["g"]], [0.25, 0.5, 0.9])
         assert np.allclose([r["a"], r["b"], r["c"]], want, atol=1e-12)
-    whole = ranking.quantiles(df, [], "x", {"q": 0.75}, buckets).first()["q"]
+    whole = ranking.quantiles(df, [], "x", {"q": 0.75}, bucket_points).first()["q"]
     assert abs(whole - np.quantile([m[2] for m in made], 0.75)) < 1e-12
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_buckets_stay_small_as_rows_grow(spark, n):
+    points = skewed(spark, n)[1].groupBy("g", "x").count()
+    dealt = ranking._with_buckets(points, ["g"], "x", 50).groupBy("_bucket").count().collect()
+    assert max(r["count"] for r in dealt) <= 100
+
+
 def test_key_positions(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("zz",), ("za",)], "k string")
     assert rows(ranking.key_positions(df, "k"), "k") == [("a", 1), ("b", 2), ("za", 3), ("zz", 4)]

@@ -85,7 +85,7 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = ranking.quantiles(long, keys, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, few_groups=not by)
+    quartiles = ranking.quantiles(long, keys, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return basic.join(quartiles, keys)
 
 

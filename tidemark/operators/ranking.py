@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.operators.spread import spread_join
+from tidemark.session import cut_lineage
 
-HASH_BUCKETS_HEX = 3  # first hex digits of an md5: 4096 even buckets per group
+HASH_BUCKETS_HEX = 4  # first hex digits of an md5: 65,536 even buckets per group
+BUCKET_POINTS = 200_000  # points that are sorted together
 
 
 def hash_key(c: str | Column) -> Column:
@@ -47,8 +48,6 @@ def ranked(df: DataFrame, by: list[str], order: list, bucket: Column, name: str
 def key_positions(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
     """1-based position of every distinct key in sorted order, over all keys."""
     keys = df.select(key).distinct()
-    if dict(df.dtypes)[key] == "string":
-        return ranked(keys, [], [key], F.substring(key, 1, 2), name)
     points = totals_below(keys.withColumn("_one", F.lit(1)), [], key, ["_one"])
     return points.select(key, (F.col("_one_below") + 1).alias(name))
 
@@ -57,32 +56,29 @@ def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
-def _with_buckets(points: DataFrame, by: list[str], key: str, buckets: int, few_groups: bool) -> DataFrame:
-    """Ordered buckets of about equal size by approximate cut points."""
-    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cut = F.percentile_approx(key, marks, F.lit(1000)).alias("_cuts")
-    if not by:
-        joined = points.withColumn("_cuts", points.agg(cut).scalar())
-    elif few_groups:
-        joined = points.join(F.broadcast(points.groupBy(*by).agg(cut)), by)
-    else:
-        cuts = points.groupBy(*by).agg(cut, F.count(F.lit(1)).alias("_points"))
-        joined = spread_join(points, cuts, by, "_points", [key]).drop("_points")
-    return joined.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
+def _with_buckets(points: DataFrame, by: list[str], key: str, bucket_points: int) -> DataFrame:
+    """Points in ordered buckets of about `bucket_points`: ranges over group and key, as many as the points need.
+
+    The bucket is the range's number. It is stored with the rows, so that it
+    stays what it was when a task is repeated.
+    """
+    points = cut_lineage(points)
+    ranges = max(1, -(-points.count() // bucket_points))
+    dealt = points.repartitionByRange(ranges, *by, key)
+    return cut_lineage(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
 def totals_below(
-    points: DataFrame, by: list[str], key: str, measures: list[str], buckets: int = 64, few_groups: bool = False
+    points: DataFrame, by: list[str], key: str, measures: list[str], bucket_points: int = BUCKET_POINTS
 ) -> DataFrame:
     """`<m>_below` = total of each measure over smaller keys, `<m>_total` = over all.
 
     `points` holds one row per (group, key value), so a value shared by many
-    rows is one point. The cut points only place the bucket borders; the
-    totals are exact wherever the borders fall. `few_groups` says the groups
-    are a fixed short list, so that their cut points may be broadcast.
+    rows is one point. The totals are exact wherever the borders of the
+    buckets fall.
     """
     keys = by + ["_bucket"]
-    rows = _with_buckets(points, by, key, buckets, few_groups)
+    rows = _with_buckets(points, by, key, bucket_points)
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     earlier = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = rows.groupBy(*keys).agg(*[F.sum(m).alias(f"_{m}") for m in measures])
@@ -98,7 +94,7 @@ def totals_below(
 
 
 def quantiles(
-    df: DataFrame, by: list[str], value: str, at: dict[str, float], buckets: int = 64, few_groups: bool = False
+    df: DataFrame, by: list[str], value: str, at: dict[str, float], bucket_points: int = BUCKET_POINTS
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per name.
 
@@ -106,7 +102,7 @@ def quantiles(
     nor a hot value lands in one task.
     """
     points = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    ranks = totals_below(points, by, value, ["n"], buckets, few_groups)
+    ranks = totals_below(points, by, value, ["n"], bucket_points)
     out = []
     for name, q in at.items():
         spot = (F.col("n_total") - 1) * F.lit(float(q))

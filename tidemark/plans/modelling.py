@@ -8,7 +8,8 @@ from tidemark.operators import classifiers as cl, clean, event_panel as ep, fold
 from tidemark.operators.labels import PRODUCTS
 from tidemark.operators.reshape import union_all
 from tidemark.plans import study
-from tidemark.plans.panels import feature_table, ratio_panel, training_texts
+from tidemark.plans.ols_sql import ols_sql
+from tidemark.plans.panels import feature_table, panel_values_sql, ratio_panel, ratio_panel_sql, training_texts
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
 from tidemark.sources.tables import Tables
@@ -72,6 +73,27 @@ def fit(panel, specs):
     return reg.panel_ols(reg.moments(panel, "symbol", columns_of(specs)), specs)
 
 
+def shown(results):
+    """Results to the digits in which sums of doubles agree, whatever the order of adding."""
+    digits = {"coef": 7, "se": 7, "t": 4, "p": 6, "r2": 7}
+    return results.withColumns({c: F.round(c, n) + 0 for c, n in digits.items()})
+
+
+# What the models' columns are in terms of the panel's.
+CROSSED_SQL = {"surprise_percent_vix": "surprise_percent * vix_close"}
+for _n in SETS[3]:
+    CROSSED_SQL |= {f"vix_{_n}": f"vix_close * {_n}", f"surprise_{_n}": f"surprise_percent * {_n}",
+                    f"surprise_vix_{_n}": f"surprise_percent * vix_close * {_n}"}
+CROSSED_SQL |= {f"{n}_{s}": f"{s} * {n}" for s in ("uncert", "illiq") for n in [*PRODUCTS, *ep.INDEX_NAMES]}
+
+
+def listed_sql():
+    """The pre-event panel's rows of events that the first panel holds."""
+    first = panel_values_sql()
+    return f"""select s.* from ({panel_values_sql("pre_event", "max")}) s
+        semi join (select symbol, event_only_index from ({first})) f on s.symbol = f.symbol and s.event_only_index = f.event_only_index"""
+
+
 @query("within_moments", """
     with r as (select symbol, ("close"-"open")/nullif("open",0) a, volume / 100.0::double b, dividends c from bars),
     d as (select a - avg(a) over (partition by symbol) a, b - avg(b) over (partition by symbol) b,
@@ -96,31 +118,35 @@ def fe_single_slope(t):
     return out.where("term = 'dividends'").select(F.round("coef", 9).alias("slope"))
 
 
-@query("panel_ols")
+@query("panel_ols", ols_sql(panel_values_sql(), {}, [ar_specs()[3]]))
 def panel_ols(t):
-    return fit(model_panel(t), [ar_specs()[3]])
+    return shown(fit(model_panel(t), [ar_specs()[3]]))
 
 
-@query("panel_ols_specs")
+def all_specs():
+    return ar_specs() + state_specs("uncert") + state_specs("illiq")
+
+
+@query("panel_ols_specs", ols_sql(panel_values_sql(), CROSSED_SQL, all_specs()))
 def panel_ols_specs(t):
-    return fit(model_panel(t), ar_specs() + state_specs("uncert") + state_specs("illiq"))
+    return shown(fit(model_panel(t), all_specs()))
 
 
-@query("panel_ols_daily")
+@query("panel_ols_daily", ols_sql(ratio_panel_sql(), {}, ar_specs()))
 def panel_ols_daily(t):
     """The eight AR models on price days instead of events."""
-    return fit(ratio_panel(t), ar_specs())
+    return shown(fit(ratio_panel(t), ar_specs()))
 
 
-@query("panel_ols_crossed")
+@query("panel_ols_crossed", ols_sql(panel_values_sql(), CROSSED_SQL, crossed_specs()))
 def panel_ols_crossed(t):
-    return fit(model_panel(t), crossed_specs())
+    return shown(fit(model_panel(t), crossed_specs()))
 
 
-@query("panel_ols_surprise")
+@query("panel_ols_surprise", ols_sql(listed_sql(), CROSSED_SQL, surprise_specs()))
 def panel_ols_surprise(t):
     """On the events of the first stage's panel only."""
-    return fit(study.listed(model_panel(t, "pre_event", "last"), study.panel(t)), surprise_specs())
+    return shown(fit(study.listed(model_panel(t, "pre_event", "last"), study.panel(t)), surprise_specs()))
 
 
 def sentiment_specs(lag, relevance=False):
@@ -135,19 +161,24 @@ def sentiment_specs(lag, relevance=False):
     ]
 
 
-@query("sentiment_hypotheses")
+HYPOTHESES = [(lag, relevance) for lag in ep.LAGS for relevance in (False, True)]
+
+
+@query("sentiment_hypotheses", " union all ".join(
+    f"select * from ({ols_sql(panel_values_sql(filled=True), CROSSED_SQL, sentiment_specs(*h))})" for h in HYPOTHESES))
 def sentiment_hypotheses(t):
     """Lag by lag, as an empty balance at one lag must not cost rows at another."""
     panel = cut_lineage(model_panel(t, fill_missing=True))
-    fits = [fit(panel, sentiment_specs(lag, relevance)) for lag in ep.LAGS for relevance in (False, True)]
-    return union_all(*fits)
+    return shown(union_all(*[fit(panel, sentiment_specs(*h)) for h in HYPOTHESES]))
+
+
+POOLED = [reg.spec("h1", "ar", *rel(SETS[3]), "surprise_percent"),
+          reg.spec("h2", "ar", *rel(SETS[3]), "surprise_percent", "volume", "dividends")]
 
 
-@query("pooled_ols")
+@query("pooled_ols", ols_sql(panel_values_sql(), {}, POOLED, effects=False))
 def pooled_ols(t):
-    specs = [reg.spec("h1", "ar", *rel(SETS[3]), "surprise_percent"),
-             reg.spec("h2", "ar", *rel(SETS[3]), "surprise_percent", "volume", "dividends")]
-    return reg.pooled_ols(reg.moments(model_panel(t), "symbol", columns_of(specs)), specs)
+    return shown(reg.pooled_ols(reg.moments(model_panel(t), "symbol", columns_of(POOLED)), POOLED))
 
 
 @query("regularised_ols")

@@ -48,6 +48,15 @@ def ratio_panel(t):
     return rows.select("symbol", "date", *kept).na.fill(0, kept)
 
 
+def ratio_panel_sql():
+    """The same in full precision, as the models read it."""
+    made = ", ".join(f"coalesce({c}, 0)::double {c}" for c in ("ar", "dividends", "volume", "market_cap", "surprise_percent", *RATIO_KEPT))
+    return f"""
+        with {event_rows("symmetric", "last", 5)}
+        select s.symbol, {made} from stock s left join study st on s.symbol = st.symbol and s.pos = st.pos
+        left join ratios r on s.symbol = r.company and s.date = r.date"""
+
+
 @query("daily_ratio_panel", f"""
     with {event_rows("symmetric", "last", 5)}
     select s.symbol, s.date, round(coalesce(st.ar, 0), 6) + 0 ar, 1.0::double const, dividends, volume, round(market_cap, 3) market_cap,
@@ -218,6 +227,19 @@ def panel_sql(style="symmetric", date_of="min", filled=False):
         select p.*, uncert, {derived_sql()} from p left join u on p.date = u.date"""
 
 
+def panel_values_sql(style="symmetric", date_of="min", filled=False):
+    """The event panel in full precision, controls in logs, as the models read it."""
+    summed = dict.fromkeys([*INTS, *FLOATS, "market_cap"])
+    logs = {"volume", "market_cap"}
+    made = ", ".join(f"coalesce(sum({c}), 0)::double {c}" for c in summed)
+    out = [f"ln(nullif({c}, 0)) {c}" if c in logs else c for c in summed]
+    out += [f"{balance_sql(p, n)} / 10 {p}_index" for p, n in ep.INDEX_PAIRS]
+    return f"""
+        with {featured_sql(style, filled)},
+        p as (select symbol, event_only_index, {date_of}(date) date, {made} from feat where event_only_index is not null group by all)
+        select p.symbol, event_only_index, p.date, uncert, {", ".join(out)} from p left join u on p.date = u.date"""
+
+
 def tidy(df):
     """Rounded for comparison: sums of doubles depend on the order of adding."""
     made = [f"{p}_index" for p, _ in ep.INDEX_PAIRS]
