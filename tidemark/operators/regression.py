@@ -26,6 +26,7 @@ from tidemark.session import cut_lineage
 
 RESULT = "model string, term string, coef double, se double, t double, p double, n bigint, entities bigint, r2 double"
 TINY = 1e-10
+PRODUCTS_HELD = 5_000_000  # numbers that a task holds before it hands its sums on
 
 
 @dataclass(frozen=True)
@@ -84,19 +85,35 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 def entity_products(df: DataFrame, entity: str, columns: list[str], shift: dict[str, float], scale: dict[str, float]) -> DataFrame:
     """(entity, m): the flattened upper triangle of sum(z z') for z = (1, columns).
 
-    Sums are partial where the rows are, so a hot entity sends one matrix per
-    partition.
+    A task adds up one matrix per entity it meets, so a hot entity sends one
+    matrix per task; only those are unfolded and added up by cell.
     """
     k = len(columns) + 1
-    z = F.array(F.lit(1.0), *[
-        (F.col(c).cast("double") - F.lit(shift.get(c, 0.0))) / F.lit(scale.get(c, 1.0)) for c in columns
-    ])
-    # Lambdas, not k * k expressions: the generated code stays small for any k.
-    later = lambda i: F.slice("z", i + 1, F.lit(k) - i)
-    products = F.flatten(F.transform("z", lambda x, i: F.transform(later(i), lambda y: x * y)))
-    rows = df.select(F.col(entity).alias("entity"), z.alias("z"))
-    rows = rows.select("entity", F.posexplode(products).alias("at", "x"))
-    cells = rows.groupBy("entity", "at").agg(F.sum("x").alias("x"))
+    upper = np.triu_indices(k)
+    moves = np.array([shift.get(c, 0.0) for c in columns])
+    sizes = np.array([scale.get(c, 1.0) for c in columns])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            z = np.column_stack([np.ones(len(pdf)), (pdf[columns].to_numpy(dtype=float) - moves) / sizes])
+            codes, names = pd.factorize(pdf["entity"], use_na_sentinel=False)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            for part in np.split(order, cuts) if len(order) else []:
+                name = names[codes[part[0]]]
+                name = None if pd.isna(name) else name
+                sums[name] = sums.get(name, 0.0) + (z[part].T @ z[part])[upper]
+            if len(sums) * len(upper[0]) > PRODUCTS_HELD:
+                yield pd.DataFrame({"entity": list(sums), "m": list(sums.values())})
+                sums = {}
+        if sums:
+            yield pd.DataFrame({"entity": list(sums), "m": list(sums.values())})
+
+    rows = df.select(F.col(entity).alias("entity"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    kind = rows.schema["entity"].dataType.simpleString()
+    parts = rows.mapInPandas(partial, f"entity {kind}, m array<double>")
+    cells = parts.select("entity", F.posexplode("m").alias("at", "x")).groupBy("entity", "at").agg(F.sum("x").alias("x"))
     return cells.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select(
         "entity", F.col("c.x").alias("m")
     )
