@@ -7,8 +7,11 @@ from conftest import SF
 from tidemark.plans import catalogue
 from tools.check import TABLES, compare, rows_of
 
-# Covered by their own tests, and slow to start at this size.
-SLOW = {"event_panel_surprise", "event_panel_filled", "day_panel", "eps_sweep", "first_story"}
+# Each builds the event panel anew, as others here do; tools/check.py compares them too.
+SLOW = {
+    "event_panel_surprise", "event_panel_filled", "day_panel", "eps_sweep", "first_story", "panel_ols", "panel_ols_crossed",
+    "sentiment_hypotheses", "pooled_ols",
+}
 
 
 @pytest.fixture(scope="module")

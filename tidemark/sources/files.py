@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import combined, strip
 
@@ -12,25 +12,47 @@ NEWS_SCHEMA = "index bigint, title string, link string, date string, ex string,
 ARTICLE_SCHEMA = "title string, text string, subject string, date string"
 SPLIT_SCHEMA = "title string, text string, label int"
 
-# Texts hold quotes and line breaks: quotes are doubled, blanks are kept.
+# Texts hold quotes: they are doubled, and blanks are kept.
 QUOTED = {
-    "quote": '"', "escape": '"', "multiLine": "true", "quoteAll": "true",
+    "quote": '"', "escape": '"', "quoteAll": "true",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
+# Line breaks are written as two characters, so that a record is a line and a file of any size can be split.
+ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"))
+MARK = "\u0001"  # stands for a written backslash while the others are put back
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", quoted: bool = True) -> DataFrame:
+def _strings(df: DataFrame, change) -> DataFrame:
+    return df.withColumns({c: change(F.col(f"`{c}`")) for c, kind in df.dtypes if kind == "string"})
+
+
+def _on_one_line(c: Column) -> Column:
+    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPES, c)
+
+
+def _as_it_was(c: Column) -> Column:
+    (back, twice), *breaks = ESCAPES
+    held = F.replace(c, F.lit(twice), F.lit(MARK))
+    return F.replace(reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), breaks, held), F.lit(MARK), F.lit(back))
+
+
+def read_delimited(
+    spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", quoted: bool = True, multi_line: bool = False
+) -> DataFrame:
     """Delimited files with a header line that the given names replace.
 
     The schema is stated, so no pass over the data is spent on guessing it.
-    Quoted line breaks keep a file in one task; write many files.
+    Records are lines with breaks written as backslash and letter, as
+    `write_delimited` has them. Files from elsewhere with breaks inside quotes
+    need `multi_line`, and then a file is read by one task.
     """
-    options = QUOTED if quoted else {}
-    return spark.read.schema(schema).options(sep=sep, header="true", enforceSchema="true", **options).csv(path)
+    options = (QUOTED | ({"multiLine": "true"} if multi_line else {})) if quoted else {}
+    rows = spark.read.schema(schema).options(sep=sep, header="true", enforceSchema="true", **options).csv(path)
+    return _strings(rows, _as_it_was) if quoted and not multi_line else rows
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> str:
-    df.write.mode("overwrite").options(sep=sep, header="true", **QUOTED).csv(path)
+    _strings(df, _on_one_line).write.mode("overwrite").options(sep=sep, header="true", **QUOTED).csv(path)
     return path
 
 
