@@ -111,9 +111,9 @@ def fold_rare(df: DataFrame, column: str, threshold: int = 10, other: str = "Oth
     Only the frequent values are joined back. The counted side is small enough
     to broadcast or not; the plan checks before it says so.
     """
-    from tidemark.session import broadcast_if_small
+    from tidemark.session import sized
 
     frequent = df.groupBy(column).count().where(F.col("count") > threshold).select(F.col(column).alias("_kept"))
-    joined = df.join(broadcast_if_small(frequent), F.col(column) == F.col("_kept"), "left")
+    joined = df.join(sized(frequent), F.col(column) == F.col("_kept"), "left")
     folded = F.when(F.col(column).isNull() | F.col("_kept").isNotNull(), F.col(column)).otherwise(F.lit(other))
     return joined.withColumn(column, folded).drop("_kept")

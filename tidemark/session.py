@@ -1,4 +1,4 @@
-"""Session settings, the shared working folder, and size-checked broadcasts."""
+"""Session settings, the shared working folder, and sides of known size."""
 
 from __future__ import annotations
 
@@ -18,9 +18,6 @@ SQL_SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-BROADCAST_ROWS = 200_000
-
-
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
@@ -78,14 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded count has shown that `df` fits.
+def sized(df: DataFrame) -> DataFrame:
+    """The rows, stored, so that Spark knows their bytes and its own threshold decides on a broadcast.
 
-    Beyond the bound the frame goes back without a hint: Spark then joins by
-    shuffle and the adaptive skew rule splits the hot keys.
+    Beyond the threshold Spark joins by shuffle, and the adaptive skew rule
+    splits the hot keys.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    return cut_lineage(df)
 
 
 def broadcast_days(df: DataFrame) -> DataFrame:
