@@ -127,14 +127,14 @@ def test_jaccard_matches_brute_force(spark, bound):
     assert set(got) == set(want) and all(math.isclose(got[p], want[p], abs_tol=1e-9) for p in got)
 
 
-@pytest.mark.parametrize("eps,cell,part", [(0.05, 10, 4), (0.3, 20, 1000), (0.6, 1000, 7)])
-def test_vector_clusters_match_brute_force(spark, eps, cell, part):
+@pytest.mark.parametrize("eps,part", [(0.05, 4), (0.3, 1000), (0.6, 7)])
+def test_vector_clusters_match_brute_force(spark, eps, part):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     x = np.vstack([centres[i % 6] + rng.normal(scale=0.3, size=8) for i in range(90)] + [np.zeros(8)] * 2)
     x = np.vstack([x, x[:3]]).astype(np.float32)
     df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "id int, b int, v array<float>")
-    got = {r["id"]: r["cluster"] for r in vc.vector_clusters(df, "id", "v", "b", eps, cell, part).collect()}
+    got = {r["id"]: r["cluster"] for r in vc.vector_clusters(df, "id", "v", "b", eps, part).collect()}
     y = x.astype(np.float64)
     norm = np.linalg.norm(y, axis=1, keepdims=True)
     y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 0)
