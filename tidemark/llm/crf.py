@@ -38,7 +38,9 @@ from tidemark.session import cut_lineage
 ROWS_PER_LABEL, LEXICON_WORDS = 400, 20_000
 FEATURES = 1 << 15
 PARTS, ROUNDS, EPOCHS, RATE, STRING = 6, 3, 4, 0.5, 8
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
+CHARS_AT_ONCE = 1 << 20  # characters whose words are held at a time
+RUN_ROWS = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -88,7 +90,7 @@ def chances(model: Model, emit_of: np.ndarray, sequences: list[np.ndarray]):
     """(numbers of sequences, steps, chances of the labels by place) for runs of sequences."""
     lengths = np.array([len(s) for s in sequences], dtype=np.int64)
     move = factor(model.moves)
-    for run in chain.by_length(lengths):
+    for run in chain.by_length(lengths, RUN_ROWS):
         steps = chain.Steps(lengths[run])
         emit = np.empty((int(lengths[run].sum()), len(model.labels)))
         emit[steps.place] = emit_of[np.concatenate([sequences[i] for i in run])]
@@ -236,17 +238,26 @@ class Labeller:
         self.rows += len(real)
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Rows of `emit` for the words of each text. Words are forgotten only between calls."""
+        if len(self.number) > MEMO_WORDS:
+            self._forget()
+        out, held, size = [], [], 0
+        for text in [*texts, None]:
+            held.append(text)
+            size += len(text or "")
+            if size > CHARS_AT_ONCE:
+                out += self._numbers(held)
+                held, size = [], 0
+        return (out + self._numbers(held))[: len(texts)]
+
+    def _numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
         new: set[str] = set()
         for f in found:
             new.update(f)
-        new.difference_update(self.number)
-        if len(self.number) + len(new) > MEMO_WORDS:
-            self._forget()
-            new = {w for f in found for w in f}
-        self._learn(sorted(new))
+        self._learn(sorted(new.difference(self.number)))
         get = self.number.__getitem__
-        out = [np.fromiter(map(get, f), dtype=np.int64, count=len(f)) for f in found]
+        out = [np.fromiter(map(get, f), dtype=np.int32, count=len(f)) for f in found]
         return [x[x >= 0] if len(x) and x.min() < 0 else x for x in out]
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
@@ -280,7 +291,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         labeller = Labeller(model)
         names = np.array([*model.labels, "und"], dtype=object)
-        for b in small_batches(batches, 24 << 20):
+        for b in small_batches(batches, 12 << 20):
             shares = labeller.shares(b.column(columns.index("text")).to_pylist())
             best = np.where(shares.any(axis=1), shares.argmax(axis=1), len(model.labels))
             yield pa.RecordBatch.from_arrays(
