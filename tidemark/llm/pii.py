@@ -105,6 +105,9 @@ def _country(entity: Column) -> Column:
     return F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
 
 
+GENDERS = ("m", "f", "n", "s")
+
+
 def canon_of(kind: Column, entity: Column) -> Column:
     code = _country(entity)
     return (
@@ -112,7 +115,7 @@ def canon_of(kind: Column, entity: Column) -> Column:
         .when(kind.isin("ssn", "card"), _digits_only(entity))
         .when(kind == "email", F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
-        .when(kind.isin("m", "f", "n", "s"), F.lower(entity))
+        .when(kind.isin(*GENDERS), F.lower(entity))
         .otherwise(entity)
     )
 
@@ -157,6 +160,18 @@ def _syllable(digest: Column, consonants: str, vowels: str):
 
 def draw(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate, in canonical form, that an entity draws at an attempt."""
+    name = draw_name(kind, canon, attempt, key)
+    return F.when(kind.isin(*GENDERS), name).otherwise(draw_data(kind, canon, attempt, key))
+
+
+def draw_name(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+    """The draw of a name alone."""
+    more = F.greatest(F.lit(0), attempt - MORE_ROOM)
+    return _name(kind, canon, _digest(kind, canon, attempt, key, "entity"), more)
+
+
+def draw_data(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+    """The draw of anything but a name."""
     digest = _digest(kind, canon, attempt, key, "entity")
     more = F.greatest(F.lit(0), attempt - MORE_ROOM)
     room = F.substring(F.translate(digest, "abcdef", "135790"), F.lit(1), F.least(more, F.lit(32)))
@@ -173,12 +188,16 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column
         F.when(kind == "ip", ip)
         .when(kind == "email", email)
         .when(kind == "card", card)
-        .when(kind.isin("m", "f", "n", "s"), _name(kind, canon, digest, more))
         .otherwise(F.concat(_by_class(canon, digest, keep), F.when(kind == "secret", room).otherwise(F.lit(""))))
     )
 
 
-def render(kind: Column, entity: Column, surrogate: Column) -> Column:
+def render_name(entity: Column, surrogate: Column) -> Column:
+    titled = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, 2, 1000))
+    return F.when((entity == F.upper(entity)) & (F.length(entity) > 1), F.upper(surrogate)).otherwise(titled)
+
+
+def render_data(kind: Column, entity: Column, surrogate: Column) -> Column:
     """A canonical surrogate written the way the entity is."""
     n = F.length(entity)
     before = lambda i: F.length(_digits_only(F.substring(entity, F.lit(1), i)))
@@ -194,11 +213,9 @@ def render(kind: Column, entity: Column, surrogate: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substring(surrogate, at, F.lit(1)))
 
     places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    titled = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, 2, 1000))
     return (
         F.when(kind.isin("phone", "ssn", "card"), F.array_join(F.transform(places, digit), ""))
         .when(kind == "iban", F.array_join(F.transform(places, solid), ""))
-        .when(kind.isin("m", "f", "n", "s"), F.when((entity == F.upper(entity)) & (n > 1), F.upper(surrogate)).otherwise(titled))
         .when((kind == "email") & (entity == F.upper(entity)), F.upper(surrogate))
         .otherwise(surrogate)
     )
@@ -236,18 +253,22 @@ def _key(kind: Column, canon: Column) -> Column:
     return F.concat_ws(":", kind, canon)
 
 
-def _replace(text: Column, pattern: Column, found: Column, exceptions: Column, key: str) -> Column:
-    """The text with its matches, (entity, kind) in order, replaced."""
+def _replace(text: Column, pattern: Column, found: Column, exceptions: Column, key: str, of_names: bool) -> Column:
+    """The text with its matches, (entity, kind) in order, replaced: names, or all else."""
     known = F.transform(found, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), canon_of(e["kind"], e["entity"]).alias("canon")))
 
     def surrogate(e):
-        drawn = F.coalesce(
-            F.element_at(exceptions, _key(e["kind"], e["canon"])), draw(e["kind"], e["canon"], F.lit(0), key)
-        )
-        return F.when(e["kind"].isNull(), e["entity"]).otherwise(render(e["kind"], e["entity"], drawn))
+        own = (draw_name if of_names else draw_data)(e["kind"], e["canon"], F.lit(0), key)
+        return F.coalesce(F.element_at(exceptions, _key(e["kind"], e["canon"])), own)
+
+    def written(e):
+        shown = render_name(e["entity"], e["drawn"]) if of_names else render_data(e["kind"], e["entity"], e["drawn"])
+        return F.when(e["kind"].isNull(), e["entity"]).otherwise(shown)
 
+    # Each step is bound once, so that the plan does not hold it again wherever it is used.
+    drawn = F.transform(known, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), surrogate(e).alias("drawn")))
     gaps = F.split(text, pattern, -1)
-    filled = F.zip_with(gaps, F.transform(known, surrogate), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
+    filled = F.zip_with(gaps, F.transform(drawn, written), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
     return F.when(F.size(found) > 0, F.array_join(filled, "")).otherwise(text)
 
 
@@ -305,7 +326,7 @@ def replace(df: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("row.text")
     none = F.create_map().cast("map<string,string>")
     first = rows.select("row", F.coalesce("exceptions", none).alias("exceptions"), entities(text).alias("found"), names(text).alias("named"))
-    first = first.withColumn("new", _replace(F.col("row.text"), F.lit(ANY), F.col("found"), F.col("exceptions"), key))
+    first = first.withColumn("new", _replace(F.col("row.text"), F.lit(ANY), F.col("found"), F.col("exceptions"), key, False))
     # Names in what is left, wherever they stand; the first title decides on a word's kind.
     kinds = F.map_from_entries(
         F.transform(
@@ -318,7 +339,7 @@ def replace(df: DataFrame, key: str = KEY) -> DataFrame:
         F.regexp_extract_all(F.col("new"), pattern, F.lit(0)),
         lambda w: F.struct(w.alias("entity"), F.element_at(kinds, w).alias("kind")),
     )
-    named = F.when(F.size("named") > 0, _replace(F.col("new"), pattern, matches, F.col("exceptions"), key)).otherwise(F.col("new"))
+    named = F.when(F.size("named") > 0, _replace(F.col("new"), pattern, matches, F.col("exceptions"), key, True)).otherwise(F.col("new"))
     done = first.select("row", named.alias("new"))
     return done.select(*(F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns))
 
