@@ -35,6 +35,7 @@ from tidemark.session import cut_lineage
 
 SHINGLE, BUDGET, NODE_ROWS = 3, 2, 4096
 BITS = 64
+PAIRS_AT_ONCE = 1 << 18
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
@@ -94,9 +95,9 @@ def walk(values: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget:
     `pairs` are nodes at `depth` as ranges of places (left from, left to, right
     from, right to) and the bits in which they differ so far.
     """
-    todo, small = [pairs], 32
+    todo, small = [(depth, pairs)], 32
     while todo:
-        a, b, c, d, spent = todo.pop()
+        depth, (a, b, c, d, spent) = todo.pop()
         same = (a == c) & (b == d)
         live = (b > a) & (d > c) & (spent <= budget) & ~(same & (b - a < 2))
         a, b, c, d, spent, same = (x[live] for x in (a, b, c, d, spent, same))
@@ -123,9 +124,8 @@ def walk(values: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int, budget:
             np.concatenate([n, d, d, n[across]]),
             np.concatenate([spent, spent, spent + 1, spent[across] + 1]),
         )
-        depth += 1
-        # One level lies in `todo` at a time, so all of it is at the same depth.
-        todo.append(nxt)
+        # The deepest pairs come next, some at a time: what waits stays small.
+        todo += [(depth + 1, tuple(x[i : i + PAIRS_AT_ONCE] for x in nxt)) for i in range(0, len(nxt[0]), PAIRS_AT_ONCE)]
 
 
 def _compare(values, a, b, c, d, budget, at_once: int = 1 << 20):
