@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-ROWS_AT_ONCE = 1 << 20
+ROWS_AT_ONCE = 1 << 19
 
 
 def by_length(lengths: np.ndarray, rows_at_once: int = ROWS_AT_ONCE) -> Iterator[np.ndarray]:
