@@ -290,7 +290,7 @@ def search(
     common = [r["node"] for r in nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(seeds).collect()]
     asked = starts
     if common:
-        seeded = queries.select("query_id", F.explode(F.array(*map(F.lit, common))).cast("long").alias("node"))
+        seeded = queries.select("query_id", F.explode(F.array(*map(F.lit, common)).cast("array<bigint>")).alias("node"))
         asked = starts.union(seeded).distinct()
     best = None
     while True:
