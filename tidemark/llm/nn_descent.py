@@ -35,6 +35,9 @@ from tidemark.llm.topk import matrix, valid_vectors
 from tidemark.session import cut_lineage
 
 NEIGHBOURS, TREES, LEAF_ROWS, ROUNDS = 32, 6, 512, 2
+# A block of pivots gets each vector it needs once: at most 2 * NEIGHBOURS + 1 a pivot, less where pivots share them.
+# Large blocks need nearly every node, so that copies grow with the number of blocks; small ones are bound by neighbours.
+PIVOT_ROWS = 512
 BEAM, SEEDS, BLOCK_ROWS = 256, 64, 4096
 LINKS = "u long, v long, d float"
 
@@ -217,7 +220,7 @@ def improve(nodes: DataFrame, links: DataFrame, n: int, k: int, block_rows: int,
 
 def build(
     nodes: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, rounds: int = ROUNDS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = PIVOT_ROWS,
 ) -> DataFrame:
     """Links u, v, d (squared) of each node to about its k nearest."""
     n = nodes.count()
