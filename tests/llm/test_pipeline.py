@@ -107,3 +107,43 @@ def test_run(spark):
     assert pieces and all(r.length <= 2048 for r in pieces)
     texts = [t for _, t in corpus_pipeline.STAGES]
     assert len(texts) == 4 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_appended_and_cut_copies(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for limit in (0.80, 0.82, 0.85, 0.90):
+        for k in range(45):
+            own = fresh(rng.randrange(120, 500))
+            n, at = len(own) - 4, rng.randrange(len(own) - 4)
+            more = int(n / limit) - n
+            other = [
+                own + fresh(more),  # appended
+                own[: len(own) - int(n * (1 - limit))],  # cut off
+                own[:at] + fresh(int((n - 4) / limit) - n - 4) + own[at:],  # a passage put in
+            ][k % 3]
+            texts += [" ".join(own), " ".join(other)]
+    assert all(0.8 <= jaccard(a, b) < 0.96 for a, b in zip(texts[::2], texts[1::2]))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in near_texts.keep_one(table).collect())
+    assert kept == list(range(0, len(texts), 2))
+
+
+def test_near_copies_equal_all_pairs(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):  # short texts of few words, so that sets overlap in all degrees
+        own = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 40))]
+        for _ in range(4):
+            a, b = sorted((rng.randrange(len(own) + 1), rng.randrange(len(own) + 1)))
+            new = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3))]
+            texts.append(" ".join(rng.choice([own, own + new, own[a:], own[:a] + new + own[a:], own[:a] + own[b:]])))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] == texts[b] or jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert sorted(r.doc_id for r in near_texts.keep_one(table).collect()) == sorted(set(root))
