@@ -147,3 +147,19 @@ def test_near_copies_equal_all_pairs(spark):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     assert sorted(r.doc_id for r in near_texts.keep_one(table).collect()) == sorted(set(root))
+
+
+def test_permuted_texts_between_near_copies(spark):
+    rng = random.Random(9)
+    texts, want = [], []
+    for k in range(8):
+        own = [f"w{k}x{i}" for i in range(300)]
+        want.append(len(texts))
+        texts += [own, own[100:150] + own[:100] + own[150:]]  # the same words, a passage moved
+        for _ in range(12):
+            want.append(len(texts))
+            texts.append(rng.sample(own, len(own)))
+    texts = [" ".join(t) for t in texts]
+    assert all(jaccard(texts[k], texts[k + 1]) >= 0.9 for k in range(0, len(texts), 14))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_texts.keep_one(table).collect()) == want
