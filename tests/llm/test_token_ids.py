@@ -156,3 +156,13 @@ def test_grammar_round_trip():
             a = int(rng.integers(0, n))
             k = int(rng.integers(1, n - a + 1))
             assert block.read_range(a, k).tolist() == ids[a : a + k].tolist()
+
+
+def test_grammar_of_runs():
+    for n in (4000, 4001, 100_000):
+        for ids in (np.full(n, 7), np.tile([1, 2, 3], n), np.concatenate([np.full(n, 7), np.full(n, 8), np.full(n, 7)])):
+            seq, rules = repair.compress(ids.astype(np.uint16), 500, min_share=0.0)
+            lengths = repair.rule_lengths(rules, 500)
+            assert repair.expand(seq, rules, lengths, 500).tolist() == ids.tolist()
+            assert len(seq) + len(rules) < 120
+            assert len({tuple(r) for r in rules.tolist()}) == len(rules)
