@@ -1,7 +1,7 @@
 """Queries of this folder by name, and their SQL where SQL can say them."""
 
 import corpus_pipeline
-from tidemark.llm import bpe_tree, crf, hmm, nn_descent, packing, pii, rendezvous, repair, simhash, topk
+from tidemark.llm import bpe_tree, crf, hmm, leaks, nn_descent, packing, pii, rendezvous, repair, simhash, topk, trie_codes
 
 QUERIES = {
     "op1_language_crf": crf.op1_language_crf,
@@ -14,10 +14,14 @@ QUERIES = {
     "op8_repair_ids": repair.op8_repair_ids,
     "op9_hmm_lm": hmm.op9_hmm_lm,
     "op10_nn_descent": nn_descent.op10_nn_descent,
+    "op11_trie_codes": trie_codes.op11_trie_codes,
+    "op13_leak_prefix": leaks.op13_leak_prefix,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op4_rendezvous": rendezvous.SQL,
     "op6_topk_bound": topk.SQL,
+    "op11_trie_codes": trie_codes.SQL,
+    "op13_leak_prefix": leaks.SQL,
 }
