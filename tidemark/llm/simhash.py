@@ -70,13 +70,19 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 def fingerprints(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (a signed long) of every row."""
+    return with_print(whole_text(df), "doc_id long", size)
+
+
+def with_print(rows: DataFrame, kept: str, size: int = SHINGLE) -> DataFrame:
+    """The `kept` columns of `rows`, in its order, with `print`. The text is the last column."""
+    names = [*rows.columns[:-1], "print"]
 
     def run(batches):
         for b in small_batches(batches):
-            prints = [fingerprint(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+            prints = [fingerprint(t, size) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints, pa.int64())], names=names)
 
-    return whole_text(df).mapInArrow(run, "doc_id long, print long")
+    return rows.mapInArrow(run, f"{kept}, print long")
 
 
 # The trie. Values have their bits in trie order, the first one highest.
@@ -250,6 +256,35 @@ def groups(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     return prints.join(cut_lineage(named.select("print", "component_id")), "print")
 
 
+def keep_one(df: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """`df` with one row of each group of linked fingerprints: the one with the smallest doc_id, then text hash.
+
+    Null ids come last. Of equal rows one stays. All columns are kept.
+    """
+    text = F.coalesce("text", F.lit(""))
+    text_id = F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    packed = df.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc"), text_id.alias("text_id"), text.alias("text"))
+    prints = cut_lineage(with_print(packed.select("doc", "text_id", "text"), "doc long, text_id binary", size))
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_id")
+    reps = cut_lineage(prints.groupBy("print").agg(F.min(first).alias("least")))
+    edges = cut_lineage(links(reps, budget))
+    members = components(edges.select(F.lit(0).alias("g"), "u", "v")).select(F.col("node").alias("print"), "root")
+    kept = reps.join(members, "print", "left").groupBy(F.coalesce("root", "print")).agg(F.min("least").alias("k"))
+    kept = kept.select(F.col("k.doc").alias("doc"), F.col("k.text_id").alias("text_id"), F.lit(True).alias("stays"))
+    same = [F.col("a.text_id") == F.col("b.text_id"), F.col("a.doc").eqNullSafe(F.col("b.doc"))]
+    counts = prints.groupBy("doc", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    judged = counts.alias("a").join(kept.alias("b"), same, "left").select("a.doc", "a.text_id", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    # Rows that go, and rows that are there more than once, are the fewer: they are sent to the texts.
+    odd = cut_lineage(judged.where("not stays or n > 1"))
+    out = packed.alias("a").join(odd.alias("b"), same, "left_anti").select("row")
+    repeated = odd.where("stays")
+    if not repeated.isEmpty():
+        again = packed.alias("a").join(repeated.alias("b"), same, "left_semi").dropDuplicates(["doc", "text_id"])
+        out = out.union(again.select("row"))
+    return out.select("row.*")
+
+
 def op3_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of three-word shingles and groups of those within two bits."""
     found = groups(fingerprints(documents(spark, folder)))
