@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import crf, near_texts, packing, pii
+from tidemark.llm import crf, packing, pii, simhash
 from tidemark.llm.bpe import vocabulary
 from tidemark.llm.rows import documents
 from tidemark.session import cut_lineage
@@ -31,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of equal texts or texts that share 0.8 of their five-word shingles."""
-    return near_texts.keep_one(docs)
+    """One document of each group whose SimHash fingerprints, of three-word shingles, link at two bits or fewer."""
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
