@@ -142,7 +142,9 @@ def test_files_keep_awkward_text(spark):
     texts = ['quoted "x"; and\nnew line', "  blanks  ", "back\\slash", "", "ü"]
     df = spark.createDataFrame([(t, t, 1) for t in texts], "title string, text string, label int")
     path = files.write_delimited(df, new_path(spark, "t"), ";")
-    back = files.read_delimited(spark, path, files.SPLIT_SCHEMA, ";")
+    back = files.read_escaped(spark, path, files.SPLIT_SCHEMA, ";")
+    assert sorted((r["text"] or "") for r in back.collect()) == sorted(texts)
+    back = files.read_delimited(spark, files.write_plain(df, new_path(spark, "t"), ";"), files.SPLIT_SCHEMA, ";")
     assert sorted((r["text"] or "") for r in back.collect()) == sorted(texts)
 
 

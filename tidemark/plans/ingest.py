@@ -25,7 +25,7 @@ def scan_news(t):
         F.lit(0).alias("n"), F.col("title").alias("Title"), F.col("news_id").alias("link"), date.alias("Date"),
         F.lit("").alias("Ex."), F.col("company").alias("Company"),
     )
-    path = files.write_delimited(raw, new_path(t.spark, "news"))
+    path = files.write_plain(raw, new_path(t.spark, "news"))
     rows = files.scan_news(t.spark, path)
     return rows.select("title", "link", F.col("date").cast("timestamp_ntz").alias("date"), F.col("company").cast("bigint").alias("company"))
 
@@ -40,7 +40,7 @@ def labelled_splits(t):
     folders = {}
     for split in ("train", "evaluation", "test"):
         part = rows.where(F.col("split") == split).select("title", "text", "label")
-        folders[split] = files.write_delimited(part, new_path(t.spark, f"split-{split}"), ";")
+        folders[split] = files.write_plain(part, new_path(t.spark, f"split-{split}"), ";")
     return files.labelled_splits(t.spark, folders)
 
 
@@ -53,7 +53,7 @@ def labelled_union(t):
     for label in (0, 1):
         part = articles.where(F.col("label") == label)
         part = part.select("title", "text", "subject", F.col("published").cast("string").alias("date"))
-        folders[label] = files.write_delimited(part, new_path(t.spark, f"articles-{label}"))
+        folders[label] = files.write_plain(part, new_path(t.spark, f"articles-{label}"))
     rows = files.labelled_articles(t.spark, folders)
     return rows.select("title", "subject", "label", "publish_date", "publish_year", F.length("text").alias("chars"))
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import combined, strip
+from tidemark.sources.quoted import MISSING, read_quoted
 
 NEWS_SCHEMA = "index bigint, title string, link string, date string, ex string, company string"
 ARTICLE_SCHEMA = "title string, text string, subject string, date string"
@@ -36,19 +37,21 @@ def _as_it_was(c: Column) -> Column:
     return F.replace(reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), breaks, held), F.lit(MARK), F.lit(back))
 
 
-def read_delimited(
-    spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", quoted: bool = True, multi_line: bool = False
-) -> DataFrame:
-    """Delimited files with a header line that the given names replace.
+def read_delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", missing: tuple[str, ...] = MISSING) -> DataFrame:
+    """Delimited files from anywhere, with a header line that the given names replace; see `quoted`."""
+    return read_quoted(spark, path, schema, sep, missing)
 
-    The schema is stated, so no pass over the data is spent on guessing it.
-    Records are lines with breaks written as backslash and letter, as
-    `write_delimited` has them. Files from elsewhere with breaks inside quotes
-    need `multi_line`, and then a file is read by one task.
-    """
-    options = (QUOTED | ({"multiLine": "true"} if multi_line else {})) if quoted else {}
-    rows = spark.read.schema(schema).options(sep=sep, header="true", enforceSchema="true", **options).csv(path)
-    return _strings(rows, _as_it_was) if quoted and not multi_line else rows
+
+def read_escaped(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
+    """Files as `write_delimited` has them: every record is a line, so one scan in any number of tasks does."""
+    rows = spark.read.schema(schema).options(sep=sep, header="true", enforceSchema="true", **QUOTED).csv(path)
+    return _strings(rows, _as_it_was)
+
+
+def write_plain(df: DataFrame, path: str, sep: str = ",") -> str:
+    """Delimited files as other programs expect them: line breaks and backslashes stand in quotes as they are."""
+    df.write.mode("overwrite").options(sep=sep, header="true", **QUOTED).csv(path)
+    return path
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> str:
@@ -129,5 +132,5 @@ def sink(df: DataFrame, path: str, kind: str) -> str:
 
 def load(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
     if kind == "csv":
-        return read_delimited(spark, path, schema)
+        return read_escaped(spark, path, schema)
     return spark.read.schema(schema).format(kind).load(path)
