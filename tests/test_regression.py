@@ -86,3 +86,38 @@ def test_elimination_keeps_what_matters(spark, panel):
 @pytest.mark.parametrize("t,df,p", [(2.0, 10, 0.07338803477074037), (-1.5, 3, 0.23058444), (0.0, 5, 1.0), (12.706204736, 1, 0.05)])
 def test_t_pvalue(t, df, p):
     assert math.isclose(reg.t_pvalue(t, df), p, rel_tol=1e-5)
+
+
+def test_each_model_uses_its_own_rows(spark):
+    rng = np.random.default_rng(3)
+    made = []
+    for i in range(400):
+        a, b, c = (None if rng.random() < 0.15 else float(x) for x in rng.normal(size=3))
+        y = float((a or 0) - 2 * (b or 0) + i % 7 + rng.normal())
+        made.append((f"s{i % 7}" if i % 50 else None, y if i % 13 else None, a, b, float("nan") if c is None and i % 2 else c, None))
+    df = spark.createDataFrame(made, "symbol string, y double, a double, b double, c double, never double")
+    specs = [reg.spec("m1", "y", "a"), reg.spec("m2", "y", "a", "b"), reg.spec("m3", "c", "b"), reg.spec("m4", "y", "b", "c"), reg.spec("m5", "y", "never")]
+    got = {(r.model, r.term): r for r in reg.fit_panel(df, "symbol", specs).collect()}
+    assert {m for m, _ in got} == {"m1", "m2", "m3", "m4"}
+    for s in specs[:4]:
+        own = reg.panel_ols(reg.moments(df.na.drop(subset=[s.target, *s.terms]), "symbol", [s.target, *s.terms]), [s]).collect()
+        for r in own:
+            mine = got.pop((r.model, r.term))
+            assert (mine.n, mine.entities) == (r.n, r.entities)
+            assert all(math.isclose(mine[c], r[c], rel_tol=1e-7, abs_tol=1e-9) for c in ("coef", "se", "t", "r2"))
+    assert not got
+
+
+@pytest.mark.parametrize("penalty,mix", [(0.0, 0.5), (0.05, 0.5), (0.3, 1.0), (0.2, 0.0), (5.0, 1.0)])
+def test_elastic_net_meets_its_conditions(spark, panel, penalty, mix):
+    made, df = panel
+    s = reg.spec("net", "y", "a", "b", "own", "flat")
+    got = {r.term: r.coef for r in reg.elastic_net(reg.moments(df, "symbol", ["y", *s.terms]), s, penalty, mix).collect()}
+    y, x = np.array([m[1] for m in made]), np.array([[m[2], m[3], m[5], m[6]] for m in made])
+    size = np.where(x.std(axis=0, ddof=1) > 0, x.std(axis=0, ddof=1), 1.0)
+    b = np.array([got[c] for c in s.terms]) * size / y.std(ddof=1)
+    e = (y - got["const"] - x @ [got[c] for c in s.terms]) / y.std(ddof=1)
+    assert abs(e.mean()) < 1e-8
+    pull = ((x - x.mean(axis=0)) / size).T @ e / len(y) - penalty * (1 - mix) * b
+    for g, v in zip(pull, b):
+        assert math.isclose(g, math.copysign(penalty * mix, v), abs_tol=1e-7) if abs(v) > 1e-12 else abs(g) <= penalty * mix + 1e-7

@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators.reshape import side_by_side, union_all
 from tidemark.session import cut_lineage
 
 RESULT = "model string, term string, coef double, se double, t double, p double, n bigint, entities bigint, r2 double"
@@ -82,41 +83,57 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def entity_products(df: DataFrame, entity: str, columns: list[str], shift: dict[str, float], scale: dict[str, float]) -> DataFrame:
+def entity_products(
+    df: DataFrame, entity: str, columns: list[str], shift: dict[str, float], scale: dict[str, float], pattern: str | None = None
+) -> DataFrame:
     """(entity, m): the flattened upper triangle of sum(z z') for z = (1, columns).
 
     A task adds up one matrix per entity it meets, so a hot entity sends one
-    matrix per task; only those are unfolded and added up by cell.
+    matrix per task; only those are unfolded and added up by cell. With
+    `pattern`, a column, there is a matrix per entity and pattern; missing
+    values then add nothing to the cells of their column.
     """
     k = len(columns) + 1
     upper = np.triu_indices(k)
     moves = np.array([shift.get(c, 0.0) for c in columns])
     sizes = np.array([scale.get(c, 1.0) for c in columns])
+    keys = ["entity", "pattern"]
+
+    def out(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"entity": [e for e, _ in sums], "pattern": [p for _, p in sums], "m": list(sums.values())})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for pdf in batches:
+            if not len(pdf):
+                continue
             z = np.column_stack([np.ones(len(pdf)), (pdf[columns].to_numpy(dtype=float) - moves) / sizes])
-            codes, names = pd.factorize(pdf["entity"], use_na_sentinel=False)
+            z = np.nan_to_num(z, nan=0.0) if pattern else z
+            codes = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
             order = np.argsort(codes, kind="stable")
             cuts = np.flatnonzero(np.diff(codes[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                name = names[codes[part[0]]]
-                name = None if pd.isna(name) else name
-                sums[name] = sums.get(name, 0.0) + (z[part].T @ z[part])[upper]
+            for part in np.split(order, cuts):
+                name, shape = pdf["entity"].iat[part[0]], pdf["pattern"].iat[part[0]]
+                at = (None if pd.isna(name) else name, shape)
+                sums[at] = sums.get(at, 0.0) + (z[part].T @ z[part])[upper]
             if len(sums) * len(upper[0]) > PRODUCTS_HELD:
-                yield pd.DataFrame({"entity": list(sums), "m": list(sums.values())})
+                yield out(sums)
                 sums = {}
         if sums:
-            yield pd.DataFrame({"entity": list(sums), "m": list(sums.values())})
+            yield out(sums)
 
-    rows = df.select(F.col(entity).alias("entity"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
+    shape = F.col(pattern) if pattern else F.lit("")
+    rows = df.select(F.col(entity).alias("entity"), shape.alias("pattern"), *[F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)])
     kind = rows.schema["entity"].dataType.simpleString()
-    parts = rows.mapInPandas(partial, f"entity {kind}, m array<double>")
-    cells = parts.select("entity", F.posexplode("m").alias("at", "x")).groupBy("entity", "at").agg(F.sum("x").alias("x"))
-    return cells.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select(
-        "entity", F.col("c.x").alias("m")
-    )
+    parts = rows.mapInPandas(partial, f"entity {kind}, pattern string, m array<double>")
+    added = added_up(parts, keys)
+    return added if pattern else added.drop("pattern")
+
+
+def added_up(products: DataFrame, keys: list[str]) -> DataFrame:
+    """One matrix per key: the cells of its matrices added up."""
+    cells = products.select(*keys, F.posexplode("m").alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
+    return cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("c")).select(*keys, F.col("c.x").alias("m"))
 
 
 def _matrices(flat: pd.Series, k: int) -> np.ndarray:
@@ -193,6 +210,44 @@ def moments(df: DataFrame, entity: str, columns: list[str]) -> Moments:
     )
 
 
+def moments_by_rows(df: DataFrame, entity: str, specs: list[Spec]) -> list[tuple[Moments, list[Spec]]]:
+    """Moments for groups of models: a model uses every row that has its own columns, whatever else is missing.
+
+    Still two passes: rows carry a pattern of what they lack, products are added up
+    by entity and pattern, and a model's rows are those of the patterns that lack
+    none of its columns. Models with the same patterns share one set of moments.
+    """
+    columns = list(dict.fromkeys(c for s in specs for c in (s.target, *s.terms)))
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    pattern = F.concat(*[F.when(value[c].isNull(), "-").otherwise("x") for c in columns])
+    kept = df.where(F.col(entity).isNotNull())
+    rows = cut_lineage(kept.select(entity, pattern.alias("_pattern"), *[v.alias(c) for c, v in value.items()]))
+    stats = rows.agg(*[f(c).alias(f"{c}|{n}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    shift = {c: stats[f"{c}|m"] or 0.0 for c in columns}
+    scale = {c: (stats[f"{c}|s"] or 0.0) or 1.0 for c in columns}
+    products = cut_lineage(entity_products(rows, entity, columns, shift, scale, "_pattern"))
+    patterns = sorted(r[0] for r in products.select("pattern").distinct().collect())
+    groups: dict[tuple[str, ...], list[Spec]] = {}
+    for s in specs:
+        own = [columns.index(c) for c in (s.target, *s.terms)]
+        groups.setdefault(tuple(p for p in patterns if all(p[i] == "x" for i in own)), []).append(s)
+    k, out = len(columns) + 1, []
+    for kept, some in groups.items():
+        mine = products.where(F.col("pattern").isin(list(kept)))
+        mine = mine.drop("pattern") if len(patterns) == 1 else cut_lineage(added_up(mine, ["entity"]))
+        entities = mine.count()
+        if entities:
+            totals = _total(mine, k, False), _total(mine, k, True)
+            out.append((Moments(df.sparkSession, mine, columns, shift, scale, *totals, entities), some))
+    return out
+
+
+def fit_panel(df: DataFrame, entity: str, specs: list[Spec]) -> DataFrame:
+    """`panel_ols` of each model over the rows that have its columns; models without rows are left out."""
+    found = [panel_ols(mom, some) for mom, some in moments_by_rows(df, entity, specs)]
+    return union_all(*found) if found else df.sparkSession.createDataFrame([], RESULT)
+
+
 def long_moments(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
     """(i, j, value): cross-products around entity means, as rows."""
     products = entity_products(df.na.drop(subset=columns), entity, columns, {}, {})
@@ -326,6 +381,31 @@ def pooled_ols(mom: Moments, specs: list[Spec]) -> DataFrame:
     return mom.spark.createDataFrame(rows, RESULT)
 
 
+def elastic_net(mom: Moments, s: Spec, penalty: float, mix: float = 0.5, sweeps: int = 10_000, tolerance: float = 1e-13) -> DataFrame:
+    """term and coef of a pooled linear model that is penalised, by coordinate descent on the totals alone.
+
+    For columns and target in units of their standard deviations it makes
+    sum(e^2) / 2n + penalty * (mix * sum|b| + (1 - mix) * sum(b^2) / 2) least; the
+    constant is free. The data is not read again, whatever the penalty.
+    """
+    n, mean = mom.total[0, 0], mom.total[0] / mom.total[0, 0]
+    around = mom.total / n - np.outer(mean, mean)
+    at, y = mom.at(*s.terms), mom.at(s.target)[0]
+    gram, cross, b = around[np.ix_(at, at)], around[at, y], np.zeros(len(at))
+    for _ in range(sweeps):
+        before = b.copy()
+        for j in range(len(at)):
+            pull = cross[j] - gram[j] @ b + gram[j, j] * b[j]
+            stiff = gram[j, j] + penalty * (1 - mix)
+            b[j] = np.sign(pull) * max(abs(pull) - penalty * mix, 0.0) / stiff if stiff > 0 else 0.0
+        if np.abs(b - before).max(initial=0.0) < tolerance:
+            break
+    coef = [b[j] * mom.scale[s.target] / mom.scale[c] for j, c in enumerate(s.terms)]
+    centre = lambda c: mom.shift[c] + mom.scale[c] * mean[mom.at(c)[0]]
+    const = centre(s.target) - sum(x * centre(c) for x, c in zip(coef, s.terms))
+    return mom.spark.createDataFrame([("const", float(const)), *((c, float(x)) for c, x in zip(s.terms, coef))], "term string, coef double")
+
+
 def eliminate(mom: Moments, s: Spec, keep: tuple[str, ...] = (), p_limit: float = 0.1) -> DataFrame:
     """General to specific: drop the weakest term until all that may go are below the limit.
 
@@ -349,6 +429,4 @@ def eliminate(mom: Moments, s: Spec, keep: tuple[str, ...] = (), p_limit: float
 
 def compare(results: DataFrame, models: list[str]) -> DataFrame:
     """Coefficients, errors and p-values side by side, one row per term."""
-    from tidemark.operators.reshape import side_by_side
-
     return side_by_side(results, "term", "model", models, ["coef", "se", "p"])

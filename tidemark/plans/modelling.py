@@ -8,7 +8,7 @@ from tidemark.operators import classifiers as cl, clean, event_panel as ep, fold
 from tidemark.operators.labels import PRODUCTS
 from tidemark.operators.reshape import union_all
 from tidemark.plans import study
-from tidemark.plans.ols_sql import ols_sql
+from tidemark.plans.ols_sql import each_model_sql, elastic_net_sql, ols_sql
 from tidemark.plans.panels import feature_table, panel_values_sql, ratio_panel, ratio_panel_sql, training_texts
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
@@ -70,7 +70,7 @@ def columns_of(specs):
 
 
 def fit(panel, specs):
-    return reg.panel_ols(reg.moments(panel, "symbol", columns_of(specs)), specs)
+    return reg.fit_panel(panel, "symbol", specs)
 
 
 def shown(results):
@@ -127,23 +127,23 @@ def all_specs():
     return ar_specs() + state_specs("uncert") + state_specs("illiq")
 
 
-@query("panel_ols_specs", ols_sql(panel_values_sql(), CROSSED_SQL, all_specs()))
+@query("panel_ols_specs", each_model_sql(panel_values_sql(), CROSSED_SQL, all_specs()))
 def panel_ols_specs(t):
     return shown(fit(model_panel(t), all_specs()))
 
 
-@query("panel_ols_daily", ols_sql(ratio_panel_sql(), {}, ar_specs()))
+@query("panel_ols_daily", each_model_sql(ratio_panel_sql(), {}, ar_specs()))
 def panel_ols_daily(t):
     """The eight AR models on price days instead of events."""
     return shown(fit(ratio_panel(t), ar_specs()))
 
 
-@query("panel_ols_crossed", ols_sql(panel_values_sql(), CROSSED_SQL, crossed_specs()))
+@query("panel_ols_crossed", each_model_sql(panel_values_sql(), CROSSED_SQL, crossed_specs()))
 def panel_ols_crossed(t):
     return shown(fit(model_panel(t), crossed_specs()))
 
 
-@query("panel_ols_surprise", ols_sql(listed_sql(), CROSSED_SQL, surprise_specs()))
+@query("panel_ols_surprise", each_model_sql(listed_sql(), CROSSED_SQL, surprise_specs()))
 def panel_ols_surprise(t):
     """On the events of the first stage's panel only."""
     return shown(fit(study.listed(model_panel(t, "pre_event", "last"), study.panel(t)), surprise_specs()))
@@ -164,12 +164,14 @@ def sentiment_specs(lag, relevance=False):
 HYPOTHESES = [(lag, relevance) for lag in ep.LAGS for relevance in (False, True)]
 
 
-@query("sentiment_hypotheses", " union all ".join(
-    f"select * from ({ols_sql(panel_values_sql(filled=True), CROSSED_SQL, sentiment_specs(*h))})" for h in HYPOTHESES))
+def all_hypotheses():
+    return [s for h in HYPOTHESES for s in sentiment_specs(*h)]
+
+
+@query("sentiment_hypotheses", each_model_sql(panel_values_sql(filled=True), CROSSED_SQL, all_hypotheses()))
 def sentiment_hypotheses(t):
-    """Lag by lag, as an empty balance at one lag must not cost rows at another."""
-    panel = cut_lineage(model_panel(t, fill_missing=True))
-    return shown(union_all(*[fit(panel, sentiment_specs(*h)) for h in HYPOTHESES]))
+    """All lags at once: an empty balance at one lag costs no rows at another."""
+    return shown(fit(model_panel(t, fill_missing=True), all_hypotheses()))
 
 
 POOLED = [reg.spec("h1", "ar", *rel(SETS[3]), "surprise_percent"),
@@ -181,9 +183,14 @@ def pooled_ols(t):
     return shown(reg.pooled_ols(reg.moments(model_panel(t), "symbol", columns_of(POOLED)), POOLED))
 
 
-@query("regularised_ols")
+PENALISED = reg.spec("net", "ar", *BASE, *SETS[3])
+PENALTY = 0.02
+
+
+@query("regularised_ols", elastic_net_sql(panel_values_sql(), {}, PENALISED, PENALTY))
 def regularised_ols(t):
-    return cl.regularised(model_panel(t), "ar", [*BASE, *SETS[3]])
+    out = reg.elastic_net(reg.moments(model_panel(t), "symbol", columns_of([PENALISED])), PENALISED, PENALTY)
+    return out.withColumn("coef", F.round("coef", 7) + 0)
 
 
 @query("gets_elimination")
@@ -194,10 +201,13 @@ def gets_elimination(t):
     return union_all(*[d.withColumn("model", F.concat(F.lit(f"{s.name}_"), "model")) for d, s in zip(steps, crossed_specs())])
 
 
-@query("model_compare")
+@query("model_compare", f"""
+    with r as materialized (select * from ({each_model_sql(panel_values_sql(), {}, ar_specs())}))
+    select term, {", ".join(f"any_value({c}) filter (where model = '{s.name}') {s.name}_{c}" for s in ar_specs() for c in ("coef", "se", "p"))}
+    from r group by term""")
 def model_compare(t):
     specs = ar_specs()
-    return reg.compare(fit(model_panel(t), specs), [s.name for s in specs])
+    return reg.compare(shown(fit(model_panel(t), specs)), [s.name for s in specs])
 
 
 # -- classifiers --------------------------------------------------------------

@@ -109,3 +109,38 @@ def ols_sql(source: str, columns: dict[str, str], specs: Sequence[Spec], entity:
       FROM lines l JOIN ta ON ta.spec = l.spec JOIN quality ON quality.spec = l.spec, sc)
     SELECT model, term, round(coef, 7) + 0 AS coef, round(se, 7) + 0 AS se, round(t, 4) + 0 AS t, round({t_pvalue_sql("t", "df")}, 6) + 0 AS p,
       n, entities, round(r2, 7) + 0 AS r2 FROM final"""
+
+
+def each_model_sql(source: str, columns: dict[str, str], specs: Sequence[Spec]) -> str:
+    """`ols_sql` model by model over one source, so that a row only has to have the model's own columns."""
+    parts = " UNION ALL ".join(f"SELECT * FROM ({ols_sql('SELECT * FROM panel0', columns, [s])})" for s in specs)
+    return f"WITH panel0 AS MATERIALIZED ({source}) {parts}"
+
+
+def elastic_net_sql(source: str, columns: dict[str, str], s: Spec, penalty: float, mix: float = 0.5, sweeps: int = 400) -> str:
+    """A penalised pooled model by coordinate descent: one step of a recursive table for each coordinate in turn."""
+    names = [s.target, *s.terms]
+    k = len(s.terms)
+    read = ", ".join(f"({columns.get(c, c)})::DOUBLE AS c{i}" for i, c in enumerate(names))
+    kept = " AND ".join(f"c{i} IS NOT NULL" for i in range(k + 1))
+    scaled = ", ".join(f"(c{i} - avg(c{i}) OVER ()) / stddev_samp(c{i}) OVER () AS d{i}" for i in range(k + 1))
+    gram = ", ".join("[" + ", ".join(f"avg(d{i} * d{j})" for j in range(1, k + 1)) + "]" for i in range(1, k + 1))
+    cross = ", ".join(f"avg(d0 * d{i})" for i in range(1, k + 1))
+    ends = ", ".join(f"avg(c{i}) AS m{i}, stddev_samp(c{i}) AS s{i}" for i in range(k + 1))
+    dot = "list_dot_product(gram[j], b)"
+    pull = f"(crossed[j] - {dot} + gram[j][j] * b[j])"
+    new = f"sign({pull}) * greatest(abs({pull}) - {penalty * mix}, 0) / (gram[j][j] + {penalty * (1 - mix)})"
+    coef = ", ".join(f"b[{i}] * s0 / s{i}" for i in range(1, k + 1))
+    level = " - ".join(["m0", *(f"b[{i}] * s0 / s{i} * m{i}" for i in range(1, k + 1))])
+    terms = ", ".join(f"'{c}'" for c in ("const", *s.terms))
+    return f"""
+    WITH RECURSIVE rows0 AS MATERIALIZED (SELECT * FROM (SELECT {read} FROM ({source})) WHERE {kept}),
+    g AS MATERIALIZED (SELECT [{gram}] AS gram, [{cross}] AS crossed FROM (SELECT {scaled} FROM rows0)),
+    cd(step, b) AS (
+      SELECT 0, list_transform(range({k}), lambda i: 0::DOUBLE)
+      UNION ALL
+      SELECT step + 1, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = j THEN {new} ELSE b[i] END)
+      FROM (SELECT step, b, step % {k} + 1 AS j FROM cd WHERE step < {k * sweeps}), g),
+    last AS (SELECT b FROM cd WHERE step = {k * sweeps}),
+    ends AS (SELECT {ends} FROM rows0)
+    SELECT unnest([{terms}]) AS term, round(unnest([{level}, {coef}]), 7) + 0 AS coef FROM last, ends"""
