@@ -33,22 +33,32 @@ def test_ingest_and_sums(spark, made, parts):
     streams.ingest(read(), path, new_path(spark, "c")).awaitTermination()
     assert spark.read.parquet(path).count() == len(made)
     path = new_path(spark, "sums")
-    streams.run_to_table(streams.daily_sums(read(), "k", "ts", ["x"], "2 days"), path, new_path(spark, "c"))
-    limit = made[-1][1] - dt.timedelta(days=2)
+    streams.daily_sums(read(), "k", "ts", ["x"], path, new_path(spark, "c")).awaitTermination()
     want = {}
     for _, ts, k, x in made:
-        day = dt.datetime.combine(ts.date(), dt.time())
-        if day + dt.timedelta(days=1) <= limit:
-            want[(k, ts.date())] = want.get((k, ts.date()), 0) + x
-    assert rows(spark.read.parquet(path), "k", "date") == sorted((*key, x) for key, x in want.items())
-
-
-def test_first_seen(spark, made):
-    folder = arrive(spark, made, 3)
-    seen = streams.first_seen(streams.read_table(spark, folder, SCHEMA, 1), ["k"], "ts", "90 days")
-    path = new_path(spark, "seen")
-    streams.run_to_table(seen, path, new_path(spark, "c"))
-    assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == ["a", "b"]
+        want[(k, ts.date())] = want.get((k, ts.date()), 0) + x
+    assert rows(streams.totals(spark, path, "k", ["x"]), "k", "date") == sorted((*key, x) for key, x in want.items())
+
+
+def test_late_rows_count(spark):
+    far = [(i, START + dt.timedelta(days=d), "a", 1) for i, d in enumerate([0, 400, 1, 900, 0])]
+    folder, path = arrive(spark, far, 5), new_path(spark, "late")
+    streams.daily_sums(streams.read_table(spark, folder, SCHEMA, 1), "k", "ts", ["x"], path, new_path(spark, "c")).awaitTermination()
+    assert [r["x"] for r in streams.totals(spark, path, "k", ["x"]).orderBy("date").collect()] == [2, 1, 1, 1]
+
+
+def test_first_seen_however_far_apart(spark, made):
+    far = [(i, START + dt.timedelta(days=d), k, 1) for i, (d, k) in enumerate([(0, "a"), (0, None), (400, "a"), (2, "b"), (4000, "b"), (1, "b"), (9000, None)])]
+    for parts in (1, 3, 7):
+        folder, path, state = arrive(spark, far, parts), new_path(spark, "seen"), new_path(spark, "c")
+        read = lambda: streams.read_table(spark, folder, SCHEMA, 1)
+        streams.first_seen(read(), ["k"], ["ts", "id"], path, state).awaitTermination()
+        got = spark.read.parquet(path).collect()
+        assert sorted(str(r["k"]) for r in got) == ["None", "a", "b"]
+        # More rows arrive later, after a stop: known keys stay out.
+        spark.createDataFrame([(50, START, "a", 1), (51, START, "c", 1)], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        streams.first_seen(read(), ["k"], ["ts", "id"], path, state).awaitTermination()
+        assert sorted(str(r["k"]) for r in spark.read.parquet(path).collect()) == ["None", "a", "b", "c"]
 
 
 def test_repeated_batch_is_written_once(spark, made):

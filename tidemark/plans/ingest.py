@@ -204,20 +204,20 @@ def stream_ingest(t):
     return rows.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "k")
 
 
-@query("stream_first_story", "select distinct user_id, event_type from events")
+@query("stream_first_story", """
+    select user_id, event_type, min(ts) first_ts from events group by all""")
 def stream_first_story(t):
     path = new_path(t.spark, "first-seen")
-    seen = streams.first_seen(event_stream(t), ["user_id", "event_type"], "ts", "60 days")
-    streams.run_to_table(seen.select("user_id", "event_type"), path, new_path(t.spark, "first-seen-state"))
-    return t.spark.read.parquet(path)
+    rows = event_stream(t).select("user_id", "event_type", "ts", "event_id")
+    streams.first_seen(rows, ["user_id", "event_type"], ["ts", "event_id"], path, new_path(t.spark, "first-seen-state")).awaitTermination()
+    return t.spark.read.parquet(path).select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("first_ts"))
 
 
 @query("stream_daily_sums", """
     select user_id, cast(ts as date) date, cast(sum(cast(event_type = 'purchase' as int)) as bigint) positive,
      cast(sum(cast(event_type = 'error' as int)) as bigint) negative
-    from events where cast(ts as date) + 1 <= (select max(ts) - interval 1 day from events) group by all""")
+    from events group by all""")
 def stream_daily_sums(t):
-    path = new_path(t.spark, "daily-sums")
-    sums = streams.daily_sums(event_stream(t), "user_id", "ts", ["positive", "negative"], "1 day")
-    streams.run_to_table(sums, path, new_path(t.spark, "daily-sums-state"))
-    return t.spark.read.parquet(path)
+    path, columns = new_path(t.spark, "daily-sums"), ["positive", "negative"]
+    streams.daily_sums(event_stream(t), "user_id", "ts", columns, path, new_path(t.spark, "daily-sums-state")).awaitTermination()
+    return streams.totals(t.spark, path, "user_id", columns)
