@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tidemark.functions.columns import flag
 from tidemark.operators import ranking
 from tidemark.operators.spread import spread_join
+from tidemark.session import cut_lineage
 
 CHUNK = 100_000
 
@@ -77,12 +78,48 @@ def unassigned(panel: DataFrame, groups: DataFrame, order: str = "event_only_ind
     return groups.join(taken, ["group_no", "in_group"], "left_anti")
 
 
-def flag_dates(panel: DataFrame, groups: DataFrame, order: str = "event_only_index") -> DataFrame:
-    """Panel rows whose date is in the group of their ticker.
+def served(panel: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_no, ticker_no): the groups that find a ticker, in turn.
 
-    The i-th ticker answers to the i-th group, as it does whenever every
-    ticker matches its own group.
+    Tickers come in order. The group whose turn it is waits for the first ticker that
+    has one of its dates; the next group then starts with the ticker after. Which
+    ticker ends a wait depends on all waits before it, so the pairs form a chain:
+    from a pair the next group's first match after that ticker. Pointers along
+    the chain are doubled, a join a round, and so is the part of the chain that is
+    known, so rounds grow with the logarithm of the number of groups. There are as
+    many pointers as pairs of a group and a ticker that share a date.
     """
-    wanted = groups.select("group_no", "date").distinct().withColumn("orig_date", F.lit(True))
-    rows = _numbered(panel, order).drop("in_group").join(wanted, ["group_no", "date"], "left")
-    return rows.withColumn("orig_date", F.coalesce("orig_date", F.lit(False))).drop("group_no")
+    tickers = ranking.key_positions(panel, "symbol", "ticker_no")
+    dated = panel.join(tickers, "symbol").select("ticker_no", "date").distinct()
+    pairs = cut_lineage(dated.join(groups.select("group_no", "date").distinct(), "date").select("group_no", "ticker_no").distinct())
+    least, last = pairs.agg(F.min("group_no"), F.max("group_no")).first()
+    chain = cut_lineage(pairs.where("group_no = 1").groupBy("group_no").agg(F.min("ticker_no").alias("ticker_no")))
+    if last is None or least > 1:
+        return chain
+    # Each pair asks the next group for its first match after the pair's ticker.
+    asked = pairs.select((F.col("group_no") + 1).alias("group_no"), "ticker_no", F.lit(None).cast("bigint").alias("own"))
+    there = pairs.select("group_no", "ticker_no", F.col("ticker_no").alias("own"))
+    later = W.partitionBy("group_no").orderBy("ticker_no").rangeBetween(1, W.unboundedFollowing)
+    found = asked.union(there).withColumn("next", F.min("own").over(later)).where("own is null and next is not null")
+    jump = cut_lineage(found.select((F.col("group_no") - 1).alias("group_no"), "ticker_no", "next"))
+    step = 1
+    while step < last:
+        ahead = chain.join(jump, ["group_no", "ticker_no"]).select((F.col("group_no") + step).alias("group_no"), F.col("next").alias("ticker_no"))
+        chain = cut_lineage(chain.union(ahead))
+        onward = jump.select((F.col("group_no") - step).alias("group_no"), F.col("ticker_no").alias("next"), F.col("next").alias("_far"))
+        jump = cut_lineage(jump.join(onward, ["group_no", "next"]).select("group_no", "ticker_no", F.col("_far").alias("next")))
+        step *= 2
+    return chain
+
+
+def flag_dates(panel: DataFrame, groups: DataFrame) -> DataFrame:
+    """Panel rows whose date is in the group that their ticker has served; see `served`."""
+    pairs = served(panel, groups)
+    wanted = pairs.join(groups.select("group_no", "date").distinct(), "group_no").select("ticker_no", "date", F.lit(True).alias("orig_date"))
+    rows = panel.join(ranking.key_positions(panel, "symbol", "ticker_no"), "symbol").join(wanted, ["ticker_no", "date"], "left")
+    return rows.withColumn("orig_date", F.coalesce("orig_date", F.lit(False))).drop("ticker_no")
+
+
+def waiting(panel: DataFrame, groups: DataFrame) -> DataFrame:
+    """Listed dates of the groups that no ticker has served."""
+    return groups.join(served(panel, groups).select("group_no"), "group_no", "left_anti")

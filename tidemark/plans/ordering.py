@@ -149,14 +149,29 @@ def unassigned_dates(t):
     return ref.unassigned(events(t), listed(t))
 
 
+# One group after another: the first ticker after the last one that has a date of the group.
+CHAIN_SQL = """
+    met as (select distinct group_of.group_no g, num.group_no t from num join groups group_of on group_of.date = num.date),
+    chain(g, t) as (
+      select g, min(t) from met where g = 1 group by g
+      union all select met.g, min(met.t) from chain join met on met.g = chain.g + 1 and met.t > chain.t group by met.g)"""
+
+
 @query("flag_reference_dates", f"""
-    with {EVENTS_SQL}, {LIST_SQL}, {NUMBERED_SQL}
+    with recursive {EVENTS_SQL}, {LIST_SQL}, {NUMBERED_SQL}, {CHAIN_SQL}
     select num.symbol, num.event_only_index, num.date, num.surprise_percent,
-     exists (select 1 from groups where groups.group_no = num.group_no and groups.date = num.date) orig_date from num""")
+     exists (select 1 from groups join chain on g = groups.group_no where t = num.group_no and groups.date = num.date) orig_date from num""")
 def flag_reference_dates(t):
     return ref.flag_dates(events(t), listed(t))
 
 
+@query("waiting_dates", f"""
+    with recursive {EVENTS_SQL}, {LIST_SQL}, {NUMBERED_SQL}, {CHAIN_SQL}
+    select groups.* from groups anti join chain on g = groups.group_no""")
+def waiting_dates(t):
+    return ref.waiting(events(t), listed(t))
+
+
 # -- unions and reshaping -----------------------------------------------------
 
 
