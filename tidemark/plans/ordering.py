@@ -165,13 +165,6 @@ def flag_reference_dates(t):
     return ref.flag_dates(events(t), listed(t))
 
 
-@query("waiting_dates", f"""
-    with recursive {EVENTS_SQL}, {LIST_SQL}, {NUMBERED_SQL}, {CHAIN_SQL}
-    select groups.* from groups anti join chain on g = groups.group_no""")
-def waiting_dates(t):
-    return ref.waiting(events(t), listed(t))
-
-
 # -- unions and reshaping -----------------------------------------------------
 
 
