@@ -62,7 +62,8 @@ def test_forms_of_one_entity(spark):
         "+1 (366) 555-9807; +1 366-555-9807",
     )
     x, y, z = re.findall(EMAIL, a)
-    assert x == y and z == x.upper() and x != "ann.lee7@host.org" and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d@m\w{8}\.example\.net", x)
+    assert x.lower() == y and z == x.upper() and y != "ann.lee7@host.org" and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d@m\w{8}\.example\.net", y)
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@.*", x)
     cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", b)
     assert cards[0].replace(" ", "") == cards[1] and luhn(cards[1]) and cards[2] == "4041894974608796"
     p, q = c.split("; ")
@@ -127,3 +128,50 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_credentials(spark, text):
     (out,) = replaced(spark, f"x {text} y")
     assert text not in out and len(out) == len(text) + 4 and out[:4] == f"x {text}"[:4] and out.endswith(" y" if text[-1] != '"' else '" y')
+
+
+def test_a_person_is_one_over_texts_and_titles(spark):
+    a, b, c, d, e = replaced(
+        spark,
+        "Dr. Jane Smith spoke.",
+        "Ms Jane Smith asked.",
+        "Later Jane Smith came back, and Jane left.",
+        "Dr. J. Smith wrote; Prof. Jane Doe read.",
+        "Jane Austen and John Smith are others.",
+    )
+    first, last = re.fullmatch(r"Dr\. (\w+) (\w+) spoke\.", a).groups()
+    assert b == f"Ms {first} {last} asked." and first.endswith("a") and "Jane" not in a
+    assert c == f"Later {first} {last} came back, and {first} left."
+    m = re.fullmatch(r"Dr\. (\w)\. (\w+) wrote; Prof\. (\w+) (\w+) read\.", d)
+    assert m[2] == last and m[3] == first and m[4] not in ("Doe", last)
+    assert e == "Jane Austen and John Smith are others."
+
+
+def test_more_forms(spark):
+    texts = replaced(
+        spark,
+        "Password: Hunter2Hunter2 and API_KEY=abcdEFGH1234 or api-key: zzzz9999zzzz",
+        "call 020 7946 0958 or 555.123.4567 or 555 123 4567, not 1.555.123.4567.8",
+        "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and FE80::1A2B, but std::vector and 10:20:30 stay",
+        "Jane.Smith@Example.com and jane.smith@example.com",
+        "王伟先生来了，李芳女士也来了。王伟走了。",
+    )
+    m = re.fullmatch(r"Password: ([A-P]\w{5}\d\w+\d) and API_KEY=([a-p]{4}[A-P]{4}\d{4}) or api-key: ([a-p]{4}\d{4}[a-p]{4})", texts[0])
+    assert m and "Hunter2Hunter2" not in texts[0] and "abcdEFGH" not in texts[0]
+    m = re.fullmatch(r"call (\d{3} \d{4} \d{4}) or (\d{3}\.\d{3}\.\d{4}) or (\d{3} \d{3} \d{4}), not 1\.555\.123\.4567\.8", texts[1])
+    assert m and "7946" not in m[1] and m[2].replace(".", " ") == m[3] != "555 123 4567"
+    m = re.fullmatch(r"host ((?:[0-9a-f]{4}:){7}[0-9a-f]{4}) and ([0-9A-F]{4}::[0-9A-F]{4}), but std::vector and 10:20:30 stay", texts[2])
+    assert m and "2001" not in m[1] and m[2] != "FE80::1A2B"
+    m = re.fullmatch(r"([A-Z][a-z]{3}\.[A-Z][a-z]{4})@(\S+) and (\S+)@(\S+)", texts[3])
+    assert m and m[1].lower() == m[3] != "jane.smith" and m[2] == m[4]
+    m = re.fullmatch(r"(\w+)先生来了，(\w+)女士也来了。(\w+)走了。", texts[4])
+    assert m and m[1] == m[3] != "王伟" and m[2] != "李芳" and m[1].endswith("伟") and m[2].endswith("芳")
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    import time
+
+    texts = ["1 " + "x" * 500_000, "1 " + "a." * 200_000 + "@", "1 a@" + "b" * 400_000, "Ab " * 100_000 + "1", "key: " + "1:" * 200_000]
+    began = time.time()
+    assert replaced(spark, *texts) == texts
+    assert time.time() - began < 120

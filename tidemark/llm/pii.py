@@ -1,13 +1,16 @@
 """Surrogates for personal data, in DataFrame functions alone.
 
-Found are e-mail addresses, IPv4 addresses, phone and social security numbers,
-IBANs, payment cards (with a valid check digit), credentials, and names after a
-title. Each entity has a canonical form (lower case, or digits alone), and the
+Found are e-mail addresses, IPv4 and IPv6 addresses, phone and social security
+numbers, IBANs, payment cards (with a valid check digit), credentials, and names
+after a title (before it in Han characters). Each entity has a canonical form (lower case, or digits alone), and the
 surrogate is drawn from a keyed digest of that: the same entity gets the same
 surrogate in every document and every way of writing. A surrogate keeps type and
 format: lengths, groups, case and character classes; a card's check digit, a
 phone's country code and an IBAN's country; a name's script and, from its title,
-its gender. A name's later mentions without the title follow it.
+its gender. A name's other mentions in the text follow it, without a title as well, and so do
+those of a full name in any text of the table. A given name has one surrogate, of
+the gender that some title gives it. An initial gives the initial of its surrogate.
+Words of a name that also have another sense in the same text are changed with it.
 
 Draws are checked: of entities that draw the same surrogate the first keeps it,
 and none may equal an entity of the table; the others draw again until all are
@@ -28,20 +31,24 @@ from tidemark.session import cut_lineage
 KEY = "tidemark-surrogates"  # a deployment gives its own secret
 MORE_ROOM = 6  # draws after which a surrogate may grow by letters or digits
 
+_WORDS = r"(?i:password|passwd|pwd|secret|token|api[_ -]?key)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 # Fixed formats of each kind.
 PATTERNS = {
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key|apikey) {0,2}[=:] {0,2}[\"']{0,1})[A-Za-z0-9+/_.-]{8,}|\bAKIA[0-9A-Z]{16}\b",
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "secret": rf"(?<={_WORDS} {{0,2}}[=:] {{0,2}}[\"']{{0,1}})[A-Za-z0-9+/_.-]{{8,}}|\bAKIA[0-9A-Z]{{16}}\b",
+    # A match begins where its run begins and gives nothing back, so a long run is looked at once.
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,20}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}\b|\(\d{3}\) ?\d{3}-\d{4}\b|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])"
+    r"|(?<![\d.-])(?:\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4}|0\d{2,4} \d{3,4} \d{3,4})(?![\d.-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold for any of them.
-HINT = r"[0-9@]|(?:password|passwd|pwd|secret|token|api_key|apikey) {0,2}[=:]"
+HINT = rf"[0-9@]|{_WORDS} {{0,2}}[=:]"
 # Titles by gender.
 TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "κύριος", "κ"],
@@ -49,7 +56,11 @@ TITLES = {
     "n": ["Dr", "Prof", "Professor", "Doktor"],
 }
 _ALL_TITLES = "|".join(t for ts in TITLES.values() for t in ts)
-NAME = rf"(?<![\p{{L}}-])(?:{_ALL_TITLES})\.? +\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}"
+_WORD = r"\p{Lu}(?:[\p{L}'-]+|\.)"  # of a name: a word or an initial
+NAME = rf"(?<![\p{{L}}-])(?:{_ALL_TITLES})\.? +{_WORD}(?: {_WORD}){{0,2}}"
+# Runs of words in which a full name may stand.
+RUN = r"(?<![\p{L}'-])\p{Lu}(?:[\p{L}'-]++|\.)(?: \p{Lu}(?:[\p{L}'-]++|\.))++"
+LONGEST = 3  # words of a full name
 # Sixteen consonants and vowels of a script, one per hexadecimal digit, and the endings of names by gender.
 SCRIPTS = {
     "Latin": ("bdfgklmnprstvzhj", "aeiouaeiouaeioua", {"m": "o", "f": "a", "n": "e", "s": "er"}),
@@ -57,6 +68,9 @@ SCRIPTS = {
     "Greek": ("βγδζθκλμνξπρστφχ", "αεηιοαεηιοαεηιοα", {"m": "ος", "f": "α", "n": "ι", "s": "ου"}),
     "Han": ("王李张刘陈杨黄赵吴周徐孙马朱胡林", "文明华国建立志海天平安永春东成光", {"m": "伟", "f": "芳", "n": "晨", "s": "家"}),
 }
+# Where a title follows the name: common surnames, then one or two characters.
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "教授": "n", "博士": "n"}
+HAN_NAME = rf"[{SCRIPTS['Han'][0]}]\p{{IsHan}}{{1,2}}?(?:{'|'.join(HAN_TITLES)})"
 _HEX = "0123456789abcdef"
 _LETTERS = "abcdefghijklmnop"
 
@@ -113,14 +127,14 @@ def canon_of(kind: Column, entity: Column) -> Column:
     return (
         F.when(kind == "phone", F.concat(code, F.lit(":"), _digits_only(F.substring(entity, F.length(code) + 1, F.length(entity)))))
         .when(kind.isin("ssn", "card"), _digits_only(entity))
-        .when(kind == "email", F.lower(entity))
+        .when(kind.isin("email", "ipv6"), F.lower(entity))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind.isin(*GENDERS), F.lower(entity))
         .otherwise(entity)
     )
 
 
-def _by_class(text: Column, digest: Column, keep: Column) -> Column:
+def _by_class(text: Column, digest: Column, keep: Column, letters: str = _LETTERS) -> Column:
     """Digits for digits and letters for letters of either case; the first `keep` characters stay."""
     n = F.length(text)
 
@@ -128,7 +142,7 @@ def _by_class(text: Column, digest: Column, keep: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
         # Every place has its own hexadecimal digit; long texts take further digests.
         h = F.substring(F.sha2(F.concat_ws(":", digest, F.floor((i - 1) / 64).cast("string")), 256), (i - 1) % 64 + 1, F.lit(1))
-        letter = F.translate(h, _HEX, _LETTERS)
+        letter = F.translate(h, _HEX, letters)
         return (
             F.when(i <= keep, c)
             .when(c.rlike("[0-9]"), F.translate(h, "abcdef", "024680"))
@@ -186,6 +200,7 @@ def draw_data(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     keep = F.when(kind == "iban", 2).when(kind == "phone", F.instr(canon, ":")).when(canon.startswith("AKIA"), 4).otherwise(0)
     return (
         F.when(kind == "ip", ip)
+        .when(kind == "ipv6", _by_class(canon, digest, F.lit(0), "abcdef" * 2 + "abcd"))
         .when(kind == "email", email)
         .when(kind == "card", card)
         .otherwise(F.concat(_by_class(canon, digest, keep), F.when(kind == "secret", room).otherwise(F.lit(""))))
@@ -194,7 +209,8 @@ def draw_data(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
 
 def render_name(entity: Column, surrogate: Column) -> Column:
     titled = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, 2, 1000))
-    return F.when((entity == F.upper(entity)) & (F.length(entity) > 1), F.upper(surrogate)).otherwise(titled)
+    initial = F.concat(F.upper(F.substring(surrogate, 1, 1)), F.lit("."))
+    return F.when(entity.endswith("."), initial).when((entity == F.upper(entity)) & (F.length(entity) > 1), F.upper(surrogate)).otherwise(titled)
 
 
 def render_data(kind: Column, entity: Column, surrogate: Column) -> Column:
@@ -212,11 +228,18 @@ def render_data(kind: Column, entity: Column, surrogate: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), " ", ""))
         return F.when(c == " ", c).otherwise(F.substring(surrogate, at, F.lit(1)))
 
+    local = F.instr(entity, "@") - 1
+
+    def cased(i):
+        return F.when(F.substring(entity, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substring(surrogate, i, F.lit(1)))).otherwise(F.substring(surrogate, i, F.lit(1)))
+
+    in_case = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(local, F.lit(1))), cased), "")
     places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     return (
         F.when(kind.isin("phone", "ssn", "card"), F.array_join(F.transform(places, digit), ""))
         .when(kind == "iban", F.array_join(F.transform(places, solid), ""))
-        .when((kind == "email") & (entity == F.upper(entity)), F.upper(surrogate))
+        .when((kind.isin("email", "ipv6")) & (entity == F.upper(entity)), F.upper(surrogate))
+        .when(kind == "email", F.concat(in_case, F.substring(surrogate, local + 1, F.length(surrogate))))
         .otherwise(surrogate)
     )
 
@@ -230,8 +253,8 @@ def entities(text: Column) -> Column:
     return F.transform(F.coalesce(some, F.array().cast("array<string>")), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
 
 
-def names(text: Column) -> Column:
-    """An array of (entity, kind): words of names after titles; kind is the gender, or s for a surname."""
+def titled(text: Column) -> Column:
+    """An array of names after titles, each an array of (entity, kind): gender for given names, s for a surname."""
     found = F.coalesce(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), F.array().cast("array<string>"))
 
     def words(match):
@@ -241,12 +264,48 @@ def names(text: Column) -> Column:
         own = F.slice(parts, F.lit(2), F.size(parts))
         return F.transform(own, lambda w, i: F.struct(w.alias("entity"), F.when(i == F.size(own) - 1, F.lit("s")).otherwise(gender).alias("kind")))
 
-    return F.flatten(F.transform(found, words))
+    return F.transform(found, words)
+
+
+def names(text: Column) -> Column:
+    """An array of (entity, kind): words of names after titles, and names of Han characters before one."""
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(HAN_NAME), F.lit(0)), F.array().cast("array<string>"))
+    ends = F.create_map(*(F.lit(x) for pair in HAN_TITLES.items() for x in pair))
+
+    def whole(match):
+        own = F.substring(match, F.lit(1), F.length(match) - 2)  # titles have two characters
+        return F.struct(own.alias("entity"), ends[F.substring(match, F.length(match) - 1, F.lit(2))].alias("kind"))
+
+    return F.concat(F.flatten(titled(text)), F.transform(found, whole))
+
+
+def people(df: DataFrame) -> DataFrame:
+    """full and words of every name of two words or more that stands after a title somewhere; the most definite title counts."""
+    each = df.select(F.explode(titled(F.col("text"))).alias("words")).where(F.size("words") > 1)
+    full = F.array_join(F.transform("words", lambda w: w["entity"]), " ")
+    return each.groupBy(full.alias("full")).agg(F.min("words").alias("words"))
+
+
+def mentions(df: DataFrame, known: DataFrame) -> DataFrame:
+    """h (hash of the text), entity and kind: words of known full names wherever they stand, with a title or not."""
+    run = df.select(F.xxhash64("text").alias("h"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
+    parts = run.select("h", F.split("run", " ").alias("w"))
+    spans = F.flatten(F.transform(
+        F.sequence(F.lit(2), F.lit(LONGEST)),
+        lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " ")),
+    ))
+    found = parts.select("h", F.explode(spans).alias("full")).distinct().join(known, "full")
+    return found.select("h", F.explode("words").alias("e")).select("h", "e.entity", "e.kind").distinct()
 
 
 def _name_pattern(own: Column) -> Column:
+    """Any of the words as a whole word; Han characters run on without one."""
+    quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
+    whole = lambda w: F.concat(F.lit(r"(?<![\p{L}'-])"), quoted(w), F.lit(r"(?![\p{L}'-])"))
     words = F.array_distinct(F.transform(own, lambda e: e["entity"]))
-    return F.concat(F.lit(r"(?<![\p{L}'-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}'-])"))
+    # Longer names first: an initial must not take the beginning of a word.
+    ordered = F.reverse(F.array_sort(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    return F.array_join(F.transform(ordered, lambda x: F.when(x["w"].rlike(r"\p{IsHan}"), quoted(x["w"])).otherwise(whole(x["w"]))), "|")
 
 
 def _key(kind: Column, canon: Column) -> Column:
@@ -283,8 +342,15 @@ def dictionary(df: DataFrame) -> DataFrame:
 
 
 def checked_draws(known: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, surrogate and attempt: all surrogates of a kind distinct, and none an entity of the table."""
-    settled, open_, attempt = None, known, 0
+    """kind, canon, surrogate and attempt: all surrogates of a kind distinct, and none an entity of the table.
+
+    A given name that stands after a title of one gender somewhere has that gender
+    everywhere: where its title says none it takes the same surrogate.
+    """
+    definite = known.where(F.col("kind").isin("m", "f")).groupBy("canon").agg(F.min("kind").alias("gender"))
+    open_title = known.where("kind = 'n'").join(definite, "canon").select("kind", "canon", "gender")
+    open_ = known.join(open_title.drop("gender"), ["kind", "canon"], "left_anti")
+    settled, attempt = None, 0
     real = known.select("kind", F.col("canon").alias("surrogate"))
     while True:
         drawn = open_.select("kind", "canon", draw(F.col("kind"), F.col("canon"), F.lit(attempt), key).alias("surrogate"))
@@ -300,8 +366,11 @@ def checked_draws(known: DataFrame, key: str = KEY) -> DataFrame:
         settled = won if settled is None else settled.unionByName(won)
         open_ = judged.where("not good").select("kind", "canon")
         if open_.isEmpty():
-            return settled
+            break
         attempt += 1
+    same = settled.select(F.col("kind").alias("gender"), "canon", "surrogate")
+    followed = open_title.join(same, ["gender", "canon"]).select("kind", "canon", "surrogate", F.lit(1).alias("attempt"))
+    return cut_lineage(settled.unionByName(followed))
 
 
 def replace(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -309,23 +378,29 @@ def replace(df: DataFrame, key: str = KEY) -> DataFrame:
     columns = df.columns
     draws = checked_draws(cut_lineage(dictionary(df)), key)
     changed = draws.where("attempt > 0").select(_key(F.col("kind"), F.col("canon")).alias("k"), "surrogate")
-    own = F.concat(entities(F.col("text")), names(F.col("text")))
+    # Names that stand in a text without a title, and surrogates that are not the first draw: both reach
+    # their texts by a hash of the text. Few texts have any.
+    met = cut_lineage(mentions(df, cut_lineage(people(df))))
     text_hash = F.xxhash64("text")
+    own = F.concat(entities(F.col("text")), names(F.col("text")))
     keys = df.select(text_hash.alias("h"), F.explode(F.array_distinct(own)).alias("e")).where("e.kind is not null")
-    keys = keys.select("h", _key(F.col("e.kind"), canon_of(F.col("e.kind"), F.col("e.entity"))).alias("k")).distinct()
-    if changed.isEmpty():
-        rows = df.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), F.lit(None).cast("map<string,string>").alias("exceptions"))
-    else:
-        per_text = keys.join(changed, "k").groupBy("h").agg(
-            F.map_from_entries(F.collect_list(F.struct("k", "surrogate"))).alias("exceptions")
-        )
-        # Stored, so that Spark knows its size and need not shuffle the texts when it is small.
-        per_text = cut_lineage(per_text)
-        packed = df.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), text_hash.alias("h"))
-        rows = packed.join(per_text, "h", "left").select("row", "exceptions")
+    keys = keys.select("h", _key(F.col("e.kind"), canon_of(F.col("e.kind"), F.col("e.entity"))).alias("k"))
+    keys = keys.union(met.select("h", _key(F.col("kind"), canon_of(F.col("kind"), F.col("entity"))))).distinct()
+    pair = F.struct("k", "surrogate")
+    told = keys.join(changed, "k").select("h", pair.alias("exception"), F.lit(None).cast("struct<entity:string,kind:string>").alias("mention"))
+    seen = met.select("h", F.lit(None).cast("struct<k:string,surrogate:string>").alias("exception"), F.struct("entity", "kind").alias("mention"))
+    per_text = told.union(seen).groupBy("h").agg(
+        F.map_from_entries(F.collect_list("exception")).alias("exceptions"), F.sort_array(F.collect_list("mention")).alias("mentions")
+    )
+    # Stored, so that Spark knows its size and need not shuffle the texts when it is small.
+    per_text = cut_lineage(per_text)
+    packed = df.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), text_hash.alias("h"))
+    rows = packed.join(per_text, "h", "left").select("row", "exceptions", "mentions")
     text = F.col("row.text")
     none = F.create_map().cast("map<string,string>")
-    first = rows.select("row", F.coalesce("exceptions", none).alias("exceptions"), entities(text).alias("found"), names(text).alias("named"))
+    also = F.coalesce("mentions", F.array().cast("array<struct<entity:string,kind:string>>"))
+    named = F.when(text.isNotNull(), F.concat(names(text), also))
+    first = rows.select("row", F.coalesce("exceptions", none).alias("exceptions"), entities(text).alias("found"), named.alias("named"))
     first = first.withColumn("new", _replace(F.col("row.text"), F.lit(ANY), F.col("found"), F.col("exceptions"), key, False))
     # Names in what is left, wherever they stand; the first title decides on a word's kind.
     kinds = F.map_from_entries(
