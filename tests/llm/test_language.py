@@ -1,6 +1,7 @@
 """Op 1: held-out accuracy, and forward-backward against all label paths."""
 
 import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -72,3 +73,24 @@ def test_code_switched_words(spark, some_docs):
     labels = [w.label for w in crf.label_words(rows, model).first().words]
     half = len(labels) // 2
     assert labels[: half - 5].count("en") > 0.8 * (half - 5) and labels[half + 5 :].count("de") > 0.8 * (half - 5)
+
+
+def test_long_runs_count_whole():
+    from tidemark.llm.crf import has_letter, words_of
+
+    run = "ab" * 250 + "жщ" * 250
+    words = words_of(run)
+    assert "".join(words) == run and max(map(len, words)) == 32 and len(words) == 32
+    assert words_of("我们都 go สวัสดี") == [*"我们都", "go", *[c for c in "สวัสดี" if has_letter(c)]]
+
+
+def test_runs_without_spaces_are_told_apart(spark):
+    rng = random.Random(4)
+    make = lambda letters: "".join(rng.choice(letters) for _ in range(600))
+    latin, other = "abcdefghijklm", "nopqrstuvwxyz"
+    rows = [(i, " ".join(make(s)[:7] for _ in range(20)), lang) for i in range(60) for s, lang in ((latin, "x"), (other, "y"))]
+    model = crf.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # The ends are of one kind, what lies between of the other.
+    tests = [(1, latin[:9] * 2 + make(other) + latin[:9] * 2), (2, other[:9] * 2 + make(latin) + other[:9] * 2)]
+    got = crf.predict(spark.createDataFrame(tests, "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["y", "x"]

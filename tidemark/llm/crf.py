@@ -13,7 +13,9 @@ sample are learned side by side from common weights, which are then averaged,
 for a few rounds. The lexicon holds the `lexicon_words` most frequent words of
 the sample.
 
-Words are runs of letters. Null text and text without letters is `und` with
+Words are runs of letters. A run of more than 32 letters is cut into windows of 32,
+each a word, and every character of a script written without spaces is one, so all of
+a text is looked at and weighs by its length. Null text and text without letters is `und` with
 score 0, and so is everything when no labelled row is there. Among equally
 likely languages the first in order is taken. Rows that repeat each give a row;
 a null doc_id is neither held out nor learned from. Other columns are ignored.
@@ -41,7 +43,13 @@ PARTS, ROUNDS, EPOCHS, RATE, STRING = 6, 3, 4, 0.5, 8
 MEMO_WORDS = 250_000
 CHARS_AT_ONCE = 1 << 20  # characters whose words are held at a time
 RUN_ROWS = 1 << 18
-_WORD = re.compile(r"[^\W\d_]+")
+WINDOW = 32  # letters of a run that are looked at together
+# Fixed ranges: scripts written without spaces, whose characters are words of their own.
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003134f"
+)
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W\d_{UNSPACED}]{{1,{WINDOW}}}")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,9 +62,8 @@ def has_letter(word: str) -> bool:
 
 def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     """Numbers of a word's features: affixes, n-grams, and the lexicon's levels per language."""
-    w = word if len(word) <= 32 else word[:16] + word[-16:]  # the middle of a run without end says no more
-    edged = f"^{w}$"
-    found = [f"<{w[:n]}" for n in (1, 2, 3)] + [f">{w[-n:]}" for n in (1, 2, 3, 4)]
+    edged = f"^{word}$"
+    found = [f"<{word[:n]}" for n in (1, 2, 3)] + [f">{word[-n:]}" for n in (1, 2, 3, 4)]
     found += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
     found += [f"={label}:{level}" for label, level in enumerate(lexicon.get(word, ()))]
     return [zlib.crc32(f.encode()) % FEATURES for f in found]
