@@ -277,7 +277,8 @@ def keep_one(df: DataFrame, size: int = SHINGLE, budget: int = BUDGET) -> DataFr
     judged = counts.alias("a").join(kept.alias("b"), same, "left").select("a.doc", "a.text_id", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
     # Rows that go, and rows that are there more than once, are the fewer: they are sent to the texts.
     odd = cut_lineage(judged.where("not stays or n > 1"))
-    out = packed.alias("a").join(odd.alias("b"), same, "left_anti").select("row")
+    # Beyond small tables they are too many to be sent to every task: the texts are shuffled once, at every size.
+    out = packed.alias("a").join(odd.hint("merge").alias("b"), same, "left_anti").select("row")
     repeated = odd.where("stays")
     if not repeated.isEmpty():
         again = packed.alias("a").join(repeated.alias("b"), same, "left_semi").dropDuplicates(["doc", "text_id"])
