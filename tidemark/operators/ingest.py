@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.session import sized
-
 # Fixed value: a list item that opens with a link; groups are address and text.
 LIST_LINK = r'<li[^>]*>\s*<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
@@ -38,7 +36,7 @@ def windowed_search(
     runs = F.flatten(F.array(*[_runs("_title", n) for n in lengths])) if lengths else F.array().cast("array<string>")
     rows = news.withColumn("_title", _words(title)).select("*", F.explode(F.array_distinct(runs)).alias("_run")).drop("_title")
     keyed = keyed.withColumn("_run", F.array_join("_words", " ")).drop("_words")
-    hits = rows.join(sized(keyed), "_run").drop("_run")
+    hits = rows.join(keyed, "_run").drop("_run")
     day = F.to_date(published)
     first = F.greatest(F.date_sub(day, days - 1), F.lit(start).cast("date"))
     last = F.least(day, F.date_sub(F.lit(end).cast("date"), 1))
@@ -65,7 +63,7 @@ def entity_head(entities: DataFrame, n: int, *order) -> DataFrame:
 
 def unprocessed(rows: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     """Rows of entities that were not ingested before."""
-    return rows.join(sized(processed.select(key).distinct()), key, "left_anti")
+    return rows.join(processed.select(key).distinct(), key, "left_anti")
 
 
 def ingest_missing(rows: DataFrame, store: str, key: str) -> DataFrame:

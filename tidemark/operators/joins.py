@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.columns import zero
-from tidemark.session import broadcast_days, sized
+from tidemark.session import broadcast_days
 
 
 def with_source_class(news: DataFrame, classes: DataFrame, key: str = "source") -> DataFrame:
     """Source class columns on every news row; unknown sources get nulls."""
-    return news.join(sized(classes), key, "left")
+    return news.join(classes, key, "left")
 
 
 def curated_only(news: DataFrame, classes: DataFrame, key: str = "source") -> DataFrame:
@@ -20,7 +20,7 @@ def curated_only(news: DataFrame, classes: DataFrame, key: str = "source") -> Da
     inner: rows of other sources are never carried.
     """
     keep = classes.where((zero("relevant") > 0) | (zero("traditional") > 0))
-    return news.join(sized(keep), key, "inner")
+    return news.join(keep, key, "inner")
 
 
 def stock_with_news(stock: DataFrame, daily: DataFrame, how: str = "left") -> DataFrame:
