@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -137,14 +137,25 @@ def search(
 # -- text ---------------------------------------------------------------------
 
 
-def text_pipeline(kind: str, features: int = 1 << 18) -> Pipeline:
+# The usual stop of such fits: a step that improves the loss by less than this share of it.
+TOLERANCE = 1e-4
+
+
+def text_pipeline(kind: str, words_kept: int = 1 << 18, least_texts: int = 2) -> Pipeline:
+    """TF-IDF over a fitted vocabulary and a linear model.
+
+    The vocabulary holds the most frequent words, `words_kept` at most, that stand
+    in `least_texts` training texts or more: no two words share a place, and what
+    an optimiser step sends to the driver is as wide as the vocabulary, not as a
+    table of hashes.
+    """
     model = {
-        "lr": lambda: LogisticRegression(regParam=0.01, maxIter=100),
-        "svm": lambda: LinearSVC(regParam=0.01, maxIter=100),
-        "multinomial": lambda: LogisticRegression(regParam=0.01, maxIter=100, family="multinomial"),
+        "lr": lambda: LogisticRegression(regParam=0.01, maxIter=100, tol=TOLERANCE),
+        "svm": lambda: LinearSVC(regParam=0.01, maxIter=100, tol=TOLERANCE),
+        "multinomial": lambda: LogisticRegression(regParam=0.01, maxIter=100, tol=TOLERANCE, family="multinomial"),
     }[kind]()
     return Pipeline(stages=[
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
+        CountVectorizer(inputCol="words", outputCol="tf", vocabSize=words_kept, minDF=float(least_texts)),
         IDF(inputCol="tf", outputCol="features"),
         model,
     ])
