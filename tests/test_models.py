@@ -66,7 +66,7 @@ def test_fold_metrics_and_time_validation(spark, articles):
     (row,) = cl.fold_metrics(rows.where("year(published) < 2017"), rows.where("year(published) >= 2017"), "doc_id").collect()
     assert row["train_samples"] + row["eval_samples"] == 60 and row["test_samples"] == 30 and row["test_f1"] == 1.0
     folds = spark.createDataFrame([(2016,), (2017,)], "test_year int")
-    out = cl.time_validation(rows, folds, "published", "doc_id").collect()
+    out = cl.validation(cl.year_folds(rows, folds, "published"), "doc_id").collect()
     assert [r["test_year"] for r in out] == [2016, 2017] and all(r["test_accuracy"] == 1.0 for r in out)
 
 

@@ -165,22 +165,28 @@ def with_words(df: DataFrame, text: str, label: str) -> DataFrame:
     return df.withColumns({"words": words(F.coalesce(F.col(text), F.lit(""))), "label": F.col(label).cast("double")})
 
 
+def fold_parts(train: DataFrame, test: DataFrame, key: str, holdout: float = 0.1) -> DataFrame:
+    """`words`, `label` and `split` of a fold: train and test (the stratified hold-out) of `train`, and `test` as final."""
+    held = ranking.split(train, key, holdout, "label").select("words", "label", "split")
+    return held.unionByName(test.select("words", "label", F.lit("final").alias("split")))
+
+
+def fold_sizes(parts: DataFrame) -> DataFrame:
+    """One row: train_samples, eval_samples and test_samples of a fold."""
+    names = (("train", "train_samples"), ("test", "eval_samples"), ("final", "test_samples"))
+    return parts.agg(*[F.count(F.when(F.col("split") == s, 1)).alias(n) for s, n in names])
+
+
 def fold_metrics(train: DataFrame, test: DataFrame, key: str, kind: str = "lr", holdout: float = 0.1) -> DataFrame:
     """Train on what the stratified hold-out leaves; score the hold-out and the test rows.
 
     `train` and `test` carry `words` and `label`. One row: sizes, accuracy and F1.
     """
-    parts = cut_lineage(
-        ranking.split(train, key, holdout, "label").select("words", "label", "split")
-        .unionByName(test.select("words", "label", F.lit("final").alias("split")))
-    )
+    parts = cut_lineage(fold_parts(train, test, key, holdout))
     fitted = text_pipeline(kind).fit(parts.where("split = 'train'"))
     scored = fitted.transform(parts).select("split", "label", "prediction")
     scored = cut_lineage(scored)
-    sizes = scored.groupBy().agg(*[
-        F.sum(F.when(F.col("split") == s, 1).otherwise(0)).alias(n)
-        for s, n in (("train", "train_samples"), ("test", "eval_samples"), ("final", "test_samples"))
-    ])
+    sizes = fold_sizes(scored)
     metrics = agg.binary_metrics(scored, "label", "prediction", ["split"])
     pick = lambda s, m: F.max(F.when(F.col("split") == s, F.col(m)))
     wide = metrics.agg(
@@ -203,25 +209,32 @@ def text_baseline(df: DataFrame, text: str, label: str, key: str, kind: str, hol
     return agg.binary_metrics(scored, "label", "prediction").withColumn("model", F.lit(kind))
 
 
-def time_validation(df: DataFrame, folds: DataFrame, date: str, key: str, kind: str = "lr") -> DataFrame:
-    """One row per test year: everything before it trains, the year tests."""
-    years = [r["test_year"] for r in folds.orderBy("test_year").collect()]
-    out = []
-    for year in years:
-        made = fold_metrics(df.where(F.year(date) < year), df.where(F.year(date) == year), key, kind)
-        out.append(made.select(F.lit(year).alias("test_year"), F.lit(f"all before {year}, scored on {year}").alias("description"), "*"))
-    return _stack(out)
+def year_folds(df: DataFrame, folds: DataFrame, date: str):
+    """(columns that name the fold, train rows, test rows) per test year: everything before it trains, the year tests."""
+    for year in [r["test_year"] for r in folds.orderBy("test_year").collect()]:
+        names = {"test_year": year, "description": f"all before {year}, scored on {year}"}
+        yield names, df.where(F.year(date) < year), df.where(F.year(date) == year)
 
 
-def domain_validation(df: DataFrame, pairs: DataFrame, key: str, kind: str = "lr") -> DataFrame:
-    """One row per ordered pair of domains: the first trains, the second tests."""
-    out = []
+def domain_folds(df: DataFrame, pairs: DataFrame):
+    """The same per ordered pair of domains: the first trains, the second tests."""
     for r in pairs.orderBy("train_no", "test_no").collect():
-        inside = lambda subjects: df.where(F.col("subject").isin(subjects))
-        made = fold_metrics(inside(r["train_subjects"]), inside(r["test_subjects"]), key, kind)
-        names = [F.lit(r[c]).alias(c) for c in ("train_domain", "test_domain")]
-        out.append(made.select(*names, "*"))
-    return _stack(out)
+        names = {c: r[c] for c in ("train_domain", "test_domain")}
+        yield names, df.where(F.col("subject").isin(r["train_subjects"])), df.where(F.col("subject").isin(r["test_subjects"]))
+
+
+def validation(folds, key: str, kind: str = "lr") -> DataFrame:
+    """One row of sizes and metrics per fold."""
+    return _stack([_named(names, fold_metrics(train, test, key, kind)) for names, train, test in folds])
+
+
+def validation_sizes(folds, key: str) -> DataFrame:
+    """The sizes alone, from the parts that the models are fitted and scored on."""
+    return _stack([_named(names, fold_sizes(fold_parts(train, test, key))) for names, train, test in folds])
+
+
+def _named(names: dict, row: DataFrame) -> DataFrame:
+    return row.select(*[F.lit(v).alias(c) for c, v in names.items()], "*")
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:

@@ -276,15 +276,54 @@ def fold_metrics(t):
     return cl.fold_metrics(rows.where(F.year("published") < 2017), rows.where(F.year("published") >= 2017), "doc_id")
 
 
+def by_year(t: Tables):
+    rows = labelled_texts(t)
+    return cl.year_folds(rows, folds.time_folds(rows, min_train=10, min_test=5, max_folds=2), "published")
+
+
 @query("time_validation")
 def time_validation(t):
-    rows = labelled_texts(t)
-    return cl.time_validation(rows, folds.time_folds(rows, min_train=10, min_test=5, max_folds=2), "published", "doc_id")
+    return cl.validation(by_year(t), "doc_id")
+
+
+# Per class a tenth, rounded up, is held out.
+SIZES_SQL = """
+    sizes as (select {names}, cast(sum(n - ceil(n * 0.1::double)) as bigint) train_samples, cast(sum(ceil(n * 0.1::double)) as bigint) eval_samples,
+      any_value(test_rows) test_samples from per group by {names})"""
 
 
-def domain_results(t):
+@query("time_validation_sizes", f"""
+    with y as (select year(published) test_year, count(*) test_rows from articles group by 1),
+    c as (select *, coalesce(sum(test_rows) over (order by test_year rows between unbounded preceding and 1 preceding), 0) earlier from y),
+    f as (select * from c where earlier >= 10 and test_rows >= 5 order by test_year limit 2),
+    per as (select test_year, test_rows, label, count(*) n from f join articles on year(published) < test_year where label is not null group by all),
+    {SIZES_SQL.format(names="test_year")}
+    select cast(test_year as int) test_year, train_samples, eval_samples, test_samples,
+      concat('all before ', test_year, ', scored on ', test_year) description from sizes""")
+def time_validation_sizes(t):
+    return cl.validation_sizes(by_year(t), "doc_id")
+
+
+def by_domain(t: Tables):
     rows = labelled_texts(t)
-    return cl.domain_validation(rows, folds.domain_pairs(rows, k=2, min_rows=2, max_pairs=4), "doc_id")
+    return cl.domain_folds(rows, folds.domain_pairs(rows, k=2, min_rows=2, max_pairs=4))
+
+
+def domain_results(t: Tables):
+    return cl.validation(by_domain(t), "doc_id")
+
+
+@query("domain_validation_sizes", f"""
+    with c as (select label, subject, count(*) n from articles group by all having count(*) >= 2),
+    k as (select *, row_number() over (partition by label order by n desc, subject) rank from c qualify rank <= 2),
+    d as (select a.subject t, b.subject f, (a.rank - 1) * 2 + b.rank as no from k a join k b on a.label = 1 and b.label = 0),
+    ok as (select d.*, concat(t, ' vs ', f) name, count(*) test_rows from d join articles on subject in (t, f) group by all having count(*) >= 4),
+    f as (select x.name train_domain, y.name test_domain, x.t, x.f, y.test_rows from ok x join ok y on x.no <> y.no order by x.no, y.no limit 4),
+    per as (select train_domain, test_domain, test_rows, label, count(*) n from f join articles on subject in (f.t, f.f) where label is not null group by all),
+    {SIZES_SQL.format(names="train_domain, test_domain")}
+    select * from sizes""")
+def domain_validation_sizes(t):
+    return cl.validation_sizes(by_domain(t), "doc_id")
 
 
 @query("domain_validation")
