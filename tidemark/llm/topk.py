@@ -10,10 +10,10 @@ read. Scores are sums of integers, so the bounds lose nothing.
 Every query row visits every block of candidates: rows are not paired before
 they meet. Blocks hold about `block_rows` candidates; queries stream past.
 
-One row counts per vec_id (among several, the least vector). Rows without vec_id
-and vectors that are null or hold null or non-finite components take no part; a
-shorter vector counts as filled up with zeros. Ties go to the smaller vec_id.
-Other columns are ignored.
+Rows are told apart by themselves: rows that repeat a vec_id all count, as candidates
+and as queries, and a query leaves out its own row only. Vectors that are null or hold
+null or non-finite components take no part; a shorter vector counts as filled up with
+zeros. Ties go to the smaller vec_id, a null one coming last. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,19 +29,27 @@ from tidemark.llm.rows import embeddings
 from tidemark.session import cut_lineage
 
 BLOCK_ROWS, DIMS_AT_ONCE = 8192, 16
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([(n, pa.int64()) for n in ("query_row", "query_id", "vec_id", "row", "score")])
+NO_ID = np.iinfo(np.int64).max  # stands for a null vec_id, which comes last
+
+
+FINE = (
+    "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
+)
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part, one per vec_id."""
-    fine = F.expr(
-        "vec_id is not null and embedding is not null and "
-        "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('Infinity'))"
-    )
-    rows = df.select(F.col("vec_id").cast("long"), "embedding").where(fine)
+    """vec_id and embedding of the rows that take part, one per vec_id (among several, the least vector)."""
+    rows = df.select(F.col("vec_id").cast("long"), "embedding").where(f"vec_id is not null and {FINE}")
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def valid_rows(df: DataFrame) -> DataFrame:
+    """row, vec_id and embedding of all rows that take part; stored, so that the row's number stays."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding")
+    return cut_lineage(rows.where(FINE))
+
+
 def matrix(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
     """Rows of one length, filled up with zeros."""
     width = max([width, *map(len, vectors)], default=0)
@@ -52,17 +60,17 @@ def matrix(vectors: list[np.ndarray], width: int = 0) -> np.ndarray:
 
 
 class CandidateBlock:
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
-        self.ids = ids
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: list[np.ndarray]):
+        self.ids, self.rows = ids, rows
         self.columns = np.ascontiguousarray(np.floor(64 * matrix(vectors)).T)
         self.squares = self.columns**2
         self.mass = self.squares.sum(axis=0)
 
-    def best(self, query_id: int, query: np.ndarray, k: int, dims_at_once: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best candidates but the query's own row, best first."""
+    def best(self, query_row: int, query: np.ndarray, k: int, dims_at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best candidates but the query's own row, best first."""
         q = np.zeros(len(self.columns))
         q[: min(len(query), len(q))] = np.floor(64 * query[: len(q)])
-        alive = np.flatnonzero(self.ids != query_id)
+        alive = np.flatnonzero(self.rows != query_row)
         score, mass = np.zeros(len(alive)), self.mass[alive]
         order = np.argsort(-np.abs(q), kind="stable")
         for at in range(0, len(order), dims_at_once):
@@ -80,71 +88,71 @@ class CandidateBlock:
                 least = np.partition(score - reach, len(alive) - k)[len(alive) - k]
                 keep = score + reach >= least
                 alive, score, mass = alive[keep], score[keep], mass[keep]
-        top = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive[top]], score[top].astype(np.int64)
+        top = np.lexsort((self.rows[alive], self.ids[alive], -score))[:k]
+        return alive[top], score[top].astype(np.int64)
 
 
 def _search_rows(batches, k, dims_at_once):
     """Rows come by block, candidates before queries."""
-    current, ids, vectors, block = None, [], [], None
+    current, ids, rows, vectors, block = None, [], [], [], None
     for b in batches:
         found = []
-        values = b.column(3).values.to_numpy(zero_copy_only=False).astype(float)
-        ends = b.column(3).offsets.to_numpy()
-        for i, (cell, is_query, vec_id) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
+        values = b.column(4).values.to_numpy(zero_copy_only=False).astype(float)
+        ends = b.column(4).offsets.to_numpy()
+        for i, (cell, is_query, row, vec_id) in enumerate(zip(*(b.column(j).to_pylist() for j in range(4)))):
             v = values[ends[i] : ends[i + 1]]
             if cell != current:
-                current, ids, vectors, block = cell, [], [], None
+                current, ids, rows, vectors, block = cell, [], [], [], None
             if not is_query:
-                ids.append(vec_id)
+                ids.append(NO_ID if vec_id is None else vec_id)
+                rows.append(row)
                 vectors.append(v.copy())
                 continue
             if block is None:
-                block = CandidateBlock(np.array(ids, dtype=np.int64), vectors)
-            near, score = block.best(vec_id, v, k, dims_at_once)
-            found.append((np.full(len(near), vec_id), near, score))
+                block = CandidateBlock(np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64), vectors)
+            near, score = block.best(row, v, k, dims_at_once)
+            own = (np.full(len(near), x) for x in (row, vec_id))
+            found.append((*own, block.ids[near], block.rows[near], score))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], schema=FOUND)
+            columns = [np.concatenate(c) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=c == NO_ID if n == 2 else None) for n, c in enumerate(columns)], schema=FOUND)
 
 
 def search(
     candidates: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS, dims_at_once: int = DIMS_AT_ONCE
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best candidates; both sides as of `valid_vectors`."""
+    """query_id, rank, vec_id and score of each query's k best candidates; both sides as of `valid_rows`."""
     cells = max(1, math.ceil(candidates.count() / block_rows))
-    cell = F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")
-    stored = candidates.select(cell.alias("cell"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(True).alias("is_query"), "vec_id", "embedding"
-    )
+    cell = F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int")
+    stored = candidates.select(cell.alias("cell"), F.lit(False).alias("is_query"), "row", "vec_id", "embedding")
+    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")
+    asked = queries.select(every, F.lit(True).alias("is_query"), "row", "vec_id", "embedding")
     found = (
         stored.unionByName(asked)
         .repartition("cell")
         .sortWithinPartitions("cell", "is_query")
-        .mapInArrow(partial(_search_rows, k=k, dims_at_once=dims_at_once), "query_id long, vec_id long, score long")
+        .mapInArrow(partial(_search_rows, k=k, dims_at_once=dims_at_once), ", ".join(f"{n} long" for n in FOUND.names))
     )
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk_bound(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 candidates with the highest integer inner product for every 20th vector."""
-    vectors = cut_lineage(valid_vectors(embeddings(spark, folder)))
-    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    rows = valid_rows(embeddings(spark, folder))
+    return search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 SQL = """
 WITH fine AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM (
-    SELECT vec_id, min(embedding) AS embedding FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    GROUP BY vec_id)),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1),
-    lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, c.r, coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1),
+    lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id % 20 = 0 AND c.r <> q.r),
 ranked AS (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+  SELECT query_id, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, r))::INTEGER AS rank, vec_id, score
   FROM scored)
-SELECT query_id, rank, vec_id, coalesce(score, 0) AS score FROM ranked WHERE rank <= 20"""
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
