@@ -279,23 +279,22 @@ def names(text: Column) -> Column:
     return F.concat(F.flatten(titled(text)), F.transform(found, whole))
 
 
-def people(df: DataFrame) -> DataFrame:
+def people(found: DataFrame) -> DataFrame:
     """full and words of every name of two words or more that stands after a title somewhere; the most definite title counts."""
-    each = df.select(F.explode(titled(F.col("text"))).alias("words")).where(F.size("words") > 1)
+    each = found.select(F.explode("titled").alias("words")).where(F.size("words") > 1)
     full = F.array_join(F.transform("words", lambda w: w["entity"]), " ")
     return each.groupBy(full.alias("full")).agg(F.min("words").alias("words"))
 
 
-def mentions(df: DataFrame, known: DataFrame) -> DataFrame:
+def mentions(found: DataFrame, known: DataFrame) -> DataFrame:
     """h (hash of the text), entity and kind: words of known full names wherever they stand, with a title or not."""
-    run = df.select(F.xxhash64("text").alias("h"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    parts = run.select("h", F.split("run", " ").alias("w"))
+    parts = found.select("h", F.explode("runs").alias("run")).select("h", F.split("run", " ").alias("w"))
     spans = F.flatten(F.transform(
         F.sequence(F.lit(2), F.lit(LONGEST)),
         lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: i + n - 1 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, n), " ")),
     ))
-    found = parts.select("h", F.explode(spans).alias("full")).distinct().join(known, "full")
-    return found.select("h", F.explode("words").alias("e")).select("h", "e.entity", "e.kind").distinct()
+    met = parts.select("h", F.explode(spans).alias("full")).distinct().join(known, "full")
+    return met.select("h", F.explode("words").alias("e")).select("h", "e.entity", "e.kind").distinct()
 
 
 def _name_pattern(own: Column) -> Column:
@@ -334,10 +333,21 @@ def _replace(text: Column, pattern: Column, found: Column, exceptions: Column, k
 # The checked draws
 
 
-def dictionary(df: DataFrame) -> DataFrame:
+def findings(df: DataFrame) -> DataFrame:
+    """h (hash of the text), own (entities and words of names), titled names and runs that may be names, of texts with any.
+
+    One scan: all that is known of the table before texts are changed comes from what is stored here.
+    """
+    text = F.col("text")
+    own = F.array_distinct(F.concat(entities(text), names(text)))
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+    found = df.where(text.isNotNull()).select(F.xxhash64("text").alias("h"), own.alias("own"), titled(text).alias("titled"), runs.alias("runs"))
+    return found.where("size(own) > 0 or size(runs) > 0")
+
+
+def dictionary(found: DataFrame) -> DataFrame:
     """kind and canon of every distinct entity in the table."""
-    own = F.concat(entities(F.col("text")), names(F.col("text")))
-    rows = df.select(F.explode(F.array_distinct(own)).alias("e")).where("e.kind is not null")
+    rows = found.select(F.explode("own").alias("e")).where("e.kind is not null")
     return rows.select("e.kind", canon_of(F.col("e.kind"), F.col("e.entity")).alias("canon")).distinct()
 
 
@@ -376,14 +386,14 @@ def checked_draws(known: DataFrame, key: str = KEY) -> DataFrame:
 def replace(df: DataFrame, key: str = KEY) -> DataFrame:
     """`df` with personal data in `text` replaced."""
     columns = df.columns
-    draws = checked_draws(cut_lineage(dictionary(df)), key)
+    found = cut_lineage(findings(df))
+    draws = checked_draws(cut_lineage(dictionary(found)), key)
     changed = draws.where("attempt > 0").select(_key(F.col("kind"), F.col("canon")).alias("k"), "surrogate")
     # Names that stand in a text without a title, and surrogates that are not the first draw: both reach
     # their texts by a hash of the text. Few texts have any.
-    met = cut_lineage(mentions(df, cut_lineage(people(df))))
+    met = cut_lineage(mentions(found, cut_lineage(people(found))))
     text_hash = F.xxhash64("text")
-    own = F.concat(entities(F.col("text")), names(F.col("text")))
-    keys = df.select(text_hash.alias("h"), F.explode(F.array_distinct(own)).alias("e")).where("e.kind is not null")
+    keys = found.select("h", F.explode("own").alias("e")).where("e.kind is not null")
     keys = keys.select("h", _key(F.col("e.kind"), canon_of(F.col("e.kind"), F.col("e.entity"))).alias("k"))
     keys = keys.union(met.select("h", _key(F.col("kind"), canon_of(F.col("kind"), F.col("entity"))))).distinct()
     pair = F.struct("k", "surrogate")
