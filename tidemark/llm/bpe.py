@@ -110,6 +110,10 @@ class Encoder:
                 del memo[piece]
         return out
 
+    def forget(self) -> None:
+        """Leave no pieces behind: the worker may go on to tasks that need its memory."""
+        self._memo.clear()
+
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.dtype)
 

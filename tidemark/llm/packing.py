@@ -143,6 +143,7 @@ def _pack_rows(batches, path, tokens, segments, loss, pool, with_ids):
             ids = np.concatenate([lead, enc.ids(enc.encode(text)), end])
             rows += packer.add(Example(doc_id, ids, 0, len(lead)))
         yield out(rows)
+    enc.forget()
     yield out(list(packer.finish()))
 
 
