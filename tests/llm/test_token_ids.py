@@ -147,7 +147,7 @@ def test_grammar_round_trip():
         ids = rng.integers(0, kinds, n).astype(np.uint16)
         seq, rules = repair.compress(ids, 500)
         lengths = repair.rule_lengths(rules, 500)
-        assert repair.expand(seq, rules, lengths, 500).tolist() == ids.tolist()
+        assert repair.expand(seq, rules, 500).tolist() == ids.tolist()
         row = {"terminals": 500, "rules": rules.tobytes(), "rule_ids": lengths.tobytes(), "sequence": seq.astype("<u4").tobytes()}
         block = repair.Block(row)
         if kinds == 2:
@@ -161,8 +161,8 @@ def test_grammar_round_trip():
 def test_grammar_of_runs():
     for n in (4000, 4001, 100_000):
         for ids in (np.full(n, 7), np.tile([1, 2, 3], n), np.concatenate([np.full(n, 7), np.full(n, 8), np.full(n, 7)])):
-            seq, rules = repair.compress(ids.astype(np.uint16), 500, min_share=0.0)
+            seq, rules = repair.compress(ids.astype(np.uint16), 500)
             lengths = repair.rule_lengths(rules, 500)
-            assert repair.expand(seq, rules, lengths, 500).tolist() == ids.tolist()
+            assert repair.expand(seq, rules, 500).tolist() == ids.tolist()
             assert len(seq) + len(rules) < 120
             assert len({tuple(r) for r in rules.tolist()}) == len(rules)

@@ -3,9 +3,10 @@
 Documents in ascending doc_id order (nulls first, then by a hash of the text)
 are dealt into shards by range. A shard is a run of blocks of about
 `block_ids` ids; documents stay whole. In a block the pairs of neighbouring ids
-that make up at least `min_share` of it are replaced by nonterminals, round
-after round, until no pair is that frequent; of a run of one symbol every second
-place is taken in one round. A row of a file is one block: its
+that occur at least `least` times are replaced by nonterminals, round after round,
+until no pair is that frequent; of a run of one symbol every second place is taken
+in one round. A grammar a block, not a shard: a shard of any size is then read and
+written block by block, in bounded memory, and a lost task costs its own blocks. A row of a file is one block: its
 rules, how many ids each rule expands to, the compressed sequence, and doc_id
 and id count of its documents. `read_range` expands only the symbols that cover
 the ids asked for.
@@ -28,7 +29,7 @@ from tidemark.llm.bpe import encoder, vocabulary
 from tidemark.llm.rows import documents, small_batches, task_number, whole_text
 from tidemark.session import cut_lineage, new_path
 
-BLOCK_IDS, MIN_SHARE, END_ID = 1 << 18, 1 / 1024, 1
+BLOCK_IDS, LEAST, END_ID = 1 << 18, 4, 1  # a rule is two symbols: below four places it saves next to nothing
 BUCKETS = 1 << 16
 
 BLOCK = (
@@ -63,10 +64,9 @@ def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return found, places[order], of_place[order]
 
 
-def compress(ids: np.ndarray, terminals: int, min_share: float = MIN_SHARE):
+def compress(ids: np.ndarray, terminals: int, least: int = LEAST):
     """The sequence of symbols, and rules as rows of two symbols."""
     seq, rules = ids.astype(np.uint32), []
-    least = max(4, int(len(ids) * min_share))
     made = 0
     while len(seq) > 1:
         found, places, rank = frequent_pairs(seq, least)
@@ -96,40 +96,28 @@ def compress(ids: np.ndarray, terminals: int, min_share: float = MIN_SHARE):
 
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """How many ids each rule expands to."""
-    out = np.zeros(len(rules), dtype=np.uint32)
-    for k, pair in enumerate(rules.tolist()):
-        out[k] = sum(1 if s < terminals else out[s - terminals] for s in pair)
-    return out
-
-
-def expansions(rules: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(where each rule's ids begin, all rules' ids one after the other)."""
-    begin = np.cumsum(lengths.astype(np.int64)) - lengths
-    flat = np.empty(int(lengths.sum()), dtype=np.uint32)
-    for k, pair in enumerate(rules.tolist()):
-        at = int(begin[k])
-        for s in pair:
-            n = 1 if s < terminals else int(lengths[s - terminals])
-            flat[at : at + n] = s if s < terminals else flat[begin[s - terminals] : begin[s - terminals] + n]
-            at += n
-    return begin, flat
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of symbols; rules use only symbols of earlier rules."""
-    at = np.flatnonzero(seq >= terminals)
-    if not len(at):
-        return seq
-    begin, flat = expansions(rules, lengths, terminals)
-    rule = seq[at] - terminals
-    sizes = np.ones(len(seq), dtype=np.int64)
-    sizes[at] = lengths[rule]
-    out = np.repeat(seq, sizes)
-    # Only places inside an expansion are written again.
-    n = sizes[at]
-    first = np.cumsum(sizes)[at] - n
-    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(first, n) + within] = flat[np.repeat(begin[rule], n) + within]
+    out = np.zeros(len(rules), dtype=np.int64)
+    at = np.arange(len(rules))
+    left, right = rules[:, 0].astype(np.int64) - terminals, rules[:, 1].astype(np.int64) - terminals
+    while len(at):  # a level of the grammar at a time
+        size = lambda r: np.where(r < 0, 1, out[np.maximum(r, 0)])
+        a, b = size(left[at]), size(right[at])
+        ready = (a > 0) & (b > 0)
+        out[at[ready]] = (a + b)[ready]
+        at = at[~ready]
+    return out.astype(np.uint32)
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+    """The ids of symbols: every nonterminal becomes its two symbols, until there are none."""
+    out = seq
+    while len(at := np.flatnonzero(out >= terminals)):
+        pair = rules[out[at] - terminals]
+        sizes = np.ones(len(out), dtype=np.int64)
+        sizes[at] = 2
+        place = at + np.arange(len(at))
+        out = np.repeat(out, sizes)
+        out[place], out[place + 1] = pair[:, 0], pair[:, 1]
     return out
 
 
@@ -143,7 +131,7 @@ class Block:
         self.seq = np.frombuffer(row["sequence"], "<u4")
 
     def read(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.lengths, self.terminals)
+        return expand(self.seq, self.rules, self.terminals)
 
     def read_range(self, start: int, count: int) -> np.ndarray:
         """`count` ids from `start` on; only the symbols over them are expanded."""
@@ -153,10 +141,10 @@ class Block:
         ends = np.cumsum(sizes)
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + count, "left") + 1
         skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(self.seq[a:b], self.rules, self.lengths, self.terminals)[skip : skip + count]
+        return expand(self.seq[a:b], self.rules, self.terminals)[skip : skip + count]
 
 
-def _block_rows(batches, path, block_ids, min_share):
+def _block_rows(batches, path, block_ids, least):
     enc = encoder(path)
     terminals, shard = enc.tok.get_vocab_size(), task_number()
     end = np.array([END_ID], dtype=enc.dtype).tobytes()
@@ -164,7 +152,7 @@ def _block_rows(batches, path, block_ids, min_share):
 
     def block():
         ids = enc.ids(b"".join(parts))
-        seq, rules = compress(ids, terminals, min_share)
+        seq, rules = compress(ids, terminals, least)
         counts = np.array([len(p) // enc.dtype.itemsize for p in parts], "<u8")
         row = {
             "shard": shard, "block": number, "n_ids": len(ids), "terminals": terminals, "n_docs": len(docs),
@@ -188,10 +176,10 @@ def _block_rows(batches, path, block_ids, min_share):
         yield block()
 
 
-def write(df: DataFrame, folder: str, path: str, block_ids: int = BLOCK_IDS, min_share: float = MIN_SHARE) -> None:
+def write(df: DataFrame, folder: str, path: str, block_ids: int = BLOCK_IDS, least: int = LEAST) -> None:
     """Ids of all documents, each with the end id, as blocks in files in `folder`."""
     docs = whole_text(df).withColumn("tie", F.xxhash64("text"))
-    run = partial(_block_rows, path=path, block_ids=block_ids, min_share=min_share)
+    run = partial(_block_rows, path=path, block_ids=block_ids, least=least)
     (
         docs.repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
