@@ -40,38 +40,41 @@ _FIELDS = [c.split() for c in BLOCK.split(", ")]
 SCHEMA = pa.schema([(n, pa.int64() if t == "long" else pa.binary()) for n, t in _FIELDS])
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (as left * 2^32 + right) that occur at least `least` times, most frequent first;
-    the places where they stand, and the rank of the pair there."""
-    left, right = seq[:-1], seq[1:]
+def frequent_pairs(seq: np.ndarray, least: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (as left * 2^32 + right) that occur at least `least` times among the places `at`, most
+    frequent first; the places where they stand, and the rank of the pair there."""
+    left, right = seq[at], seq[at + 1]
     # A pair is no more frequent than its bucket: few places are left to be counted exactly.
     bucket = (left * np.uint32(40_503) + right).astype(np.uint16)
-    places = np.flatnonzero(np.take(np.bincount(bucket, minlength=BUCKETS) >= least, bucket))
-    pairs = (left[places].astype(np.int64) << 32) | right[places]
-    order = np.argsort(pairs, kind="stable")
-    places, pairs = places[order], pairs[order]
+    often = np.flatnonzero(np.take(np.bincount(bucket, minlength=BUCKETS) >= least, bucket))
+    pairs = (left[often].astype(np.int64) << 32) | right[often]
+    order = np.argsort(pairs)
+    pairs = pairs[order]
     begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, np.int64)
     counts = np.diff(np.append(begin, len(pairs)))
-    often = counts >= least
+    kept = counts >= least
     rank = np.full(len(begin), -1)
-    rank[often] = np.argsort(np.argsort(-counts[often], kind="stable"), kind="stable")
-    of_place = np.repeat(rank, counts)
-    kept = of_place >= 0
-    places, of_place = places[kept], of_place[kept]
-    order = np.argsort(places, kind="stable")
-    found = np.empty(int(often.sum()), dtype=np.int64)
-    found[rank[often]] = pairs[begin[often]]
-    return found, places[order], of_place[order]
+    rank[kept] = np.argsort(np.argsort(-counts[kept], kind="stable"), kind="stable")
+    found = np.empty(int(kept.sum()), dtype=np.int64)
+    found[rank[kept]] = pairs[begin[kept]]
+    of_place = np.full(len(at), -1)
+    of_place[often[order]] = np.repeat(rank, counts)
+    stands = of_place >= 0
+    return found, at[stands], of_place[stands]
 
 
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST):
     """The sequence of symbols, and rules as rows of two symbols."""
     seq, rules = ids.astype(np.uint32), []
     made = 0
+    open_at = np.ones(len(seq), dtype=bool)
     while len(seq) > 1:
-        found, places, rank = frequent_pairs(seq, least)
+        found, places, rank = frequent_pairs(seq, least, np.flatnonzero(open_at[:-1]))
         if not len(found):
             break
+        # A pair that is rare now stays rare: only frequent pairs and pairs with a new symbol are looked at again.
+        open_at[:] = False
+        open_at[places] = True
         # Of a run of one symbol the pairs that overlap are left out: every second place stays.
         touch, like = np.diff(places) == 1, np.diff(rank) == 0
         start = np.flatnonzero(np.append(True, ~(touch & like)))
@@ -87,9 +90,11 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST):
         rules.append(np.stack([found[used] >> 32, found[used] & 0xFFFFFFFF], axis=1).astype(np.uint32))
         seq[take] = terminals + made + new
         made += len(used)
+        open_at[take] = True
+        open_at[take[take > 0] - 1] = True
         stays = np.ones(len(seq), dtype=bool)
         stays[take + 1] = False
-        seq = seq[stays]
+        seq, open_at = seq[stays], open_at[stays]
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return seq, table
 
