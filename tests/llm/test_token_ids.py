@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_tree, packing, repair
@@ -100,14 +101,32 @@ def check_packing(docs, rows, tokens, segments, loss):
 def test_op5(spark, odd_docs, no_docs, some_docs, folder_of):
     for docs in (odd_docs, some_docs, no_docs):
         got = packing.op5_vector_packing(spark, folder_of(documents=docs)).collect()
-        check_packing(docs, got, 2048, 64, 2048)
+        check_packing(docs, got, 2048, 1024, 1536)
     assert got == []
 
 
-def test_packing_leaves_little_padding(some_docs):
-    rows = packing.pack(some_docs.coalesce(1), BYTE).collect()
-    bins = check_packing(some_docs, rows, 2048, 64, 2048)
-    assert sum(sum(r.length for r in b) < 2048 for b in bins.values()) <= 1
+def test_packing_leaves_little_padding(spark, some_docs):
+    many = some_docs.select("doc_id", "text").coalesce(1)
+    one_word = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("word").alias("text")).coalesce(1)
+    long_text = some_docs.agg(F.lit(0).cast("long").alias("doc_id"), F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    for docs, not_full in ((many, 2), (one_word, 1), (many.union(long_text).coalesce(1), 2)):
+        rows = packing.pack(docs, BYTE, loss=1536, loss_from=0.5).collect()
+        bins = check_packing(docs, rows, 2048, 1024, 1536)
+        assert sum(sum(r.length for r in b) < 2048 for b in bins.values()) <= not_full
+        for r in rows:
+            first = int(0.5 * r.doc_tokens)
+            assert r.loss_tokens == max(0, r.start + r.length - max(r.start, first))
+
+
+def test_loss_limit_binds(some_docs):
+    """Sequences that go beyond the loss limit where there is none keep to it where there is."""
+    most = {}
+    for loss in (2048, 1100):
+        rows = packing.pack(some_docs.coalesce(1), BYTE, loss=loss, loss_from=0.5).collect()
+        bins = check_packing(some_docs, rows, 2048, 1024, loss)
+        most[loss] = max(sum(r.loss_tokens for r in b) for b in bins.values())
+        assert sum(sum(r.length for r in b) < 2048 for b in bins.values()) <= 2
+    assert most[2048] > 1100
 
 
 def test_all_limits_bind(spark, some_docs):
