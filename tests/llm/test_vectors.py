@@ -24,16 +24,6 @@ def odd_vectors(spark):
     return spark.createDataFrame([(*r, None, None, None, None, None, None) for r in rows], schema)
 
 
-def vectors_of(df):
-    out = {}
-    for r in df.select("vec_id", "embedding").collect():
-        v = r.embedding
-        if r.vec_id is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        out[r.vec_id] = min(out.get(r.vec_id, list(v)), list(v))
-    return out
-
-
 def want_top(df, k=20, every=20):
     f32 = lambda x: struct.unpack("f", struct.pack("f", x))[0]
     rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
@@ -70,28 +60,43 @@ def test_blocks_of_any_size(odd_vectors, block_rows, dims):
 
 
 def want_near(df, k=10, every=100):
-    vectors = {i: v for i, v in vectors_of(df).items() if any(v)}
-    width = max(map(len, vectors.values()), default=0)
-    names = sorted(vectors)
-    x = np.array([[*vectors[i], *[0.0] * (width - len(vectors[i]))] for i in names])
-    out = {}
-    for q in (i for i in names if i % every == 0):
-        d = np.sqrt(((x - x[names.index(q)]) ** 2).sum(axis=1))
-        out[q] = sorted((s, i) for s, i in zip(d.tolist(), names) if i != q)[:k]
+    """Per query row its id and the (distance, vec_id) of the k nearest; a null vec_id comes last."""
+    rows = [(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()]
+    rows = [(i, v) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    width = max((len(v) for _, v in rows), default=0)
+    x = np.array([[*v, *[0.0] * (width - len(v))] for _, v in rows])
+    out = []
+    for q, (query_id, _) in enumerate(rows):
+        if query_id is None or query_id % every:
+            continue
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        near = sorted((s, i is None, i or 0) for c, (s, (i, _)) in enumerate(zip(d.tolist(), rows)) if c != q)[:k]
+        out.append((query_id, [(s, None if none else i) for s, none, i in near]))
     return out
 
 
 def near_of(df):
     out = {}
-    for r in sorted(df.collect()):
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
         assert r.rank == len(out.setdefault(r.query_id, [])) + 1
         out[r.query_id].append((r.score, r.vec_id))
     return out
 
 
+def test_op10_rows_that_repeat(spark, folder_of):
+    schema = T._parse_datatype_string("vec_id long, embedding array<float>")
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 2.0]), (7, [1.0, 1.0]), (None, [1.0, 0.0]), (200, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = nn_descent.op10_nn_descent(spark, folder_of(embeddings=df)).collect()
+    flat = lambda q, near: [(q, n + 1, i, round(s, 9)) for n, (s, i) in enumerate(near)]
+    want = [r for q, near in want_near(df) for r in flat(q, near)]
+    assert len(want) == 12
+    assert sorted(((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_op10_small_tables(spark, odd_vectors, folder_of):
     for df in (odd_vectors, odd_vectors.limit(5), odd_vectors.limit(0)):
-        got, want = near_of(nn_descent.op10_nn_descent(spark, folder_of(embeddings=df))), want_near(df)
+        got, want = near_of(nn_descent.op10_nn_descent(spark, folder_of(embeddings=df))), dict(want_near(df))
         assert {q: [i for _, i in r] for q, r in got.items()} == {q: [i for _, i in r] for q, r in want.items()}
         assert all(np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], atol=1e-12) for q in want)
 
@@ -99,7 +104,7 @@ def test_op10_small_tables(spark, odd_vectors, folder_of):
 def test_op10_recall(spark):
     folder = "/root/testdata/sf0.1"
     got = near_of(nn_descent.op10_nn_descent(spark, folder))
-    want = want_near(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    want = dict(want_near(spark.read.parquet(f"{folder}/embeddings.parquet")))
     assert got.keys() == want.keys() and all(len(got[q]) == 10 for q in want)
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert hits >= 0.95 * 10 * len(want)

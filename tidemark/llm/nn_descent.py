@@ -14,10 +14,11 @@ neighbours, blocks of nodes give the distances, and the best `beam` stay; it
 ends when no query has a node left to open. The nearest found are ranked by the
 exact distance of the original vectors, in double precision.
 
-One row counts per vec_id (among several, the least vector). Rows without vec_id
-and vectors that are null, zero or hold null or non-finite components take no
-part; a shorter vector counts as filled up with zeros. Ties go to the smaller
-vec_id, also between copies. Other columns are ignored.
+Rows are told apart by themselves: rows that repeat a vec_id all count, as candidates
+and as queries, and a query leaves out its own row only. Vectors that are null, zero
+or hold null or non-finite components take no part; a shorter vector counts as filled
+up with zeros. Ties go to the smaller vec_id, a null one coming last, also between
+copies. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.rows import embeddings, small_batches
-from tidemark.llm.topk import matrix, valid_vectors
+from tidemark.llm.topk import matrix, valid_rows
 from tidemark.session import cut_lineage
 
 NEIGHBOURS, TREES, LEAF_ROWS, ROUNDS = 32, 6, 512, 2
@@ -54,9 +55,9 @@ def _vectors(column) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, embedding) of distinct vectors, named by their least vec_id; (node, vec_id) of all rows."""
-    nodes = cut_lineage(vectors.groupBy("embedding").agg(F.min("vec_id").alias("node")).select("node", "embedding"))
-    return nodes, vectors.join(nodes, "embedding").select("node", "vec_id")
+    """(node, embedding) of distinct vectors, named by their least row; (node, row, vec_id) of all rows."""
+    nodes = cut_lineage(vectors.groupBy("embedding").agg(F.min("row").alias("node")).select("node", "embedding"))
+    return nodes, vectors.join(nodes, "embedding").select("node", "row", "vec_id")
 
 
 # The first graph
@@ -313,17 +314,16 @@ def search(
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest found; `queries` are rows of `vectors`."""
+    """query_id, rank, vec_id and score of the k nearest found; `queries` are rows of `vectors`, which are as of `valid_rows`."""
     nodes, members = nodes_of(vectors)
     members = cut_lineage(members)
     links = build(nodes, neighbours, rounds=rounds)
-    asked = queries.select(F.col("vec_id").alias("query_id"), "embedding")
-    starts = members.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id").select(
-        F.col("vec_id").alias("query_id"), "node"
-    )
-    found = search(asked, starts, nodes, links, beam)
+    asked = queries.select(F.col("row").alias("query_id"), "embedding", F.col("vec_id").alias("named"))
+    starts = members.select(F.col("row").alias("query_id"), "node").join(asked.select("query_id"), "query_id")
+    found = search(asked.drop("named"), starts, nodes, links, beam)
     # Of copies, k + 1 can be among the k nearest or be the query itself.
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
+    least = F.asc_nulls_last("vec_id")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(least, "row"))
     few = members.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
     a, b = F.col("a"), F.col("b")
     gap = F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double"), F.lit(0.0)) - F.coalesce(y.cast("double"), F.lit(0.0)))
@@ -331,15 +331,15 @@ def nearest(
     scored = (
         found.join(asked.withColumnRenamed("embedding", "a"), "query_id")
         .join(nodes.withColumnRenamed("embedding", "b"), "node")
-        .select("query_id", "node", score.alias("score"))
+        .select("query_id", "named", "node", score.alias("score"))
     )
-    rows = scored.join(few, "node").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = scored.join(few, "node").where("row <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", least, "row"))
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select(F.col("named").alias("query_id"), "rank", "vec_id", "score")
 
 
 def op10_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest found for every 100th vector."""
-    nonzero = valid_vectors(embeddings(spark, folder)).where("exists(embedding, x -> x <> 0)")
-    vectors = cut_lineage(nonzero)
+    vectors = cut_lineage(valid_rows(embeddings(spark, folder)).where("exists(embedding, x -> x <> 0)"))
     return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)

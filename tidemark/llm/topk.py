@@ -38,12 +38,6 @@ FINE = (
 )
 
 
-def valid_vectors(df: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part, one per vec_id (among several, the least vector)."""
-    rows = df.select(F.col("vec_id").cast("long"), "embedding").where(f"vec_id is not null and {FINE}")
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-
 def valid_rows(df: DataFrame) -> DataFrame:
     """row, vec_id and embedding of all rows that take part; stored, so that the row's number stays."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding")
