@@ -45,7 +45,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, with their ids."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    path = vocabulary("byte_bpe_50k.json")
+    return packing.pack(docs, path, loss=packing.LOSS_TOKENS, loss_from=packing.LOSS_FROM)
 
 
 STAGES = [
