@@ -104,3 +104,15 @@ def test_training_raises_the_likelihood():
             now += np.log(hmm.chain.forward(steps, model.start, model.move, model.emit[seq], keep=False)[1]).sum()
         assert now > last - 1.0
         last = now
+
+
+def test_every_pass_reads_all_training_documents(spark, monkeypatch):
+    made = [(i, f"word{i % 7} other") for i in range(4000)]
+    held, learned = hmm.in_training()
+    docs = spark.createDataFrame(made, "doc_id long, text string").select("doc_id", held.alias("held_out"), learned.alias("learned"), "text")
+    vocabulary = hmm.vocabulary_of(hmm.word_counts(docs.where("learned")), 40)
+    coded = docs.mapInArrow(hmm.partial(hmm._code_rows, number=vocabulary.number), hmm.CODED)
+    seen = []
+    monkeypatch.setattr(hmm, "one_pass", lambda rows, model, mass, classes: seen.append(rows.count()) or model)
+    hmm.train(coded, vocabulary, states=2, classes=40)
+    assert seen and set(seen) == {docs.where("learned").count()}

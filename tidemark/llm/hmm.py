@@ -4,10 +4,9 @@ Words are counted over all training documents. The `classes` most frequent words
 (the end of a document is one of them) are classes of their own; all others share
 one class, in which a word has the share (count + 1) of the class, one further
 share being that of words never seen. Baum-Welch finds the latent states, from
-states that like to stay: the first passes read a 32nd of the training documents
-(`start_rows` documents at least), each following one twice as many, the last
-`passes` all of them. In every pass expected counts are added up across
-partitions; no task holds more than its own. A scaled forward recursion gives the
+states that like to stay, in `passes` passes that each read all training documents.
+In every pass expected counts are added up across partitions; no task holds more
+than its own. A scaled forward recursion gives the
 exact log-likelihood of a text.
 
 Frequent words are known to every task (their number is a parameter); rare ones
@@ -34,7 +33,7 @@ from tidemark.llm import chain
 from tidemark.llm.rows import documents, small_batches, task_number, whole_text
 from tidemark.session import cut_lineage
 
-STATES, CLASSES, FREQUENT, PASSES, START_ROWS, START_PASSES = 8, 65_000, 65_000, 2, 1500, 12
+STATES, CLASSES, FREQUENT, PASSES, START_ROWS, START_PASSES = 8, 65_000, 65_000, 6, 1500, 0
 START_SHARE = 1 / 32
 FLUSH_WORDS = 400_000
 BLOCK = 1024  # classes whose expected counts travel together
@@ -232,19 +231,24 @@ def train(
     coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, classes: int = CLASSES, passes: int = PASSES,
     start_rows: int = START_ROWS, start_passes: int = START_PASSES,
 ) -> Model:
-    """Baum-Welch over the rows that are learned from, over growing shares of them and then all."""
+    """Baum-Welch over all rows that are learned from.
+
+    With `start_passes`, that many passes come first, over a 32nd of the rows (`start_rows` at
+    least), and then one over each share twice as large.
+    """
     mass = class_mass(vocabulary, classes)
     draw = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     learned = coded.where("learned").select("ids", draw.alias("draw"))
     model, n = first_model(mass, states), learned.count()
     if not n:
         return model
-    share = min(1.0, max(START_SHARE, start_rows / n))
-    some = cut_lineage(learned.where(F.col("draw") < F.lit(share)))
-    for _ in range(start_passes):
-        model = one_pass(some, model, mass, classes)
-    while (share := 2 * share) < 1:
-        model = one_pass(learned.where(F.col("draw") < F.lit(share)), model, mass, classes)
+    if start_passes:
+        share = min(1.0, max(START_SHARE, start_rows / n))
+        some = cut_lineage(learned.where(F.col("draw") < F.lit(share)))
+        for _ in range(start_passes):
+            model = one_pass(some, model, mass, classes)
+        while (share := 2 * share) < 1:
+            model = one_pass(learned.where(F.col("draw") < F.lit(share)), model, mass, classes)
     for _ in range(passes):
         model = one_pass(learned, model, mass, classes)
     return model
