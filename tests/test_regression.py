@@ -121,3 +121,28 @@ def test_elastic_net_meets_its_conditions(spark, panel, penalty, mix):
     pull = ((x - x.mean(axis=0)) / size).T @ e / len(y) - penalty * (1 - mix) * b
     for g, v in zip(pull, b):
         assert math.isclose(g, math.copysign(penalty * mix, v), abs_tol=1e-7) if abs(v) > 1e-12 else abs(g) <= penalty * mix + 1e-7
+
+
+def test_one_matrix_per_entity_and_part_over_its_own_columns(spark):
+    rng = np.random.default_rng(5)
+    names = [f"c{i}" for i in range(6)]
+    made = [(f"s{i % 40}", *[None if rng.random() < 0.3 else float(x) for x in rng.normal(size=6)]) for i in range(600)]
+    df = spark.createDataFrame(made, "symbol string, " + ", ".join(f"{c} double" for c in names)).repartition(7)
+    specs = [reg.spec("a", "c0", "c1"), reg.spec("b", "c2", "c3"), reg.spec("c", "c4", "c5"), reg.spec("d", "c4", "c5")]
+    found = reg.moments_by_rows(df, "symbol", specs)
+    assert [[s.name for s in some] for _, some in found] == [["a"], ["b"], ["c", "d"]]
+    for mom, _ in found:
+        got = {r.entity: r.m for r in mom.products.collect()}
+        assert mom.products.count() == len(got) == mom.entities and {len(m) for m in got.values()} == {6}
+        at = [1 + names.index(c) for c in mom.columns]
+        for name, m in got.items():
+            own = [[r[i] for i in at] for r in made if r[0] == name and None not in [r[i] for i in at]]
+            z = np.column_stack([np.ones(len(own)), (np.array(own) - [mom.shift[c] for c in mom.columns]) / [mom.scale[c] for c in mom.columns]])
+            assert np.allclose(m, (z.T @ z)[np.triu_indices(3)])
+
+
+def test_products_come_without_unfolding(spark):
+    df = spark.createDataFrame([(f"s{i}", float(i), float(i * i % 7)) for i in range(50)], "symbol string, y double, a double")
+    products = reg.entity_products(df, "symbol", ["y", "a"], {}, {})
+    plan = products._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
