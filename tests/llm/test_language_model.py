@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import hmm
+from tidemark.llm import chain, hmm
 
 
 def slow_tokens(text):
@@ -116,3 +116,20 @@ def test_every_pass_reads_all_training_documents(spark, monkeypatch):
     monkeypatch.setattr(hmm, "one_pass", lambda rows, model, mass, classes: seen.append(rows.count()) or model)
     hmm.train(coded, vocabulary, states=2, classes=40)
     assert seen and set(seen) == {docs.where("learned").count()}
+
+
+def test_expected_counts_hold_few_arrays_of_a_run():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    sequences = [rng.integers(0, 50, n) for n in rng.integers(1, 400, 1200)]
+    model = hmm.first_model(np.full(50, 1 / 50), 8)
+    rows = sum(map(len, sequences))
+    assert rows > 10 * chain.SLICE
+    tracemalloc.start()
+    start, move, words = hmm.expected(model, sequences)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.5 * rows * 8 * 8  # emissions, forward, backward, and what is small beside them
+    assert math.isclose(move.sum(), rows - len(sequences)) and math.isclose(start.sum(), len(sequences))
+    assert np.allclose(words.sum(axis=1), np.bincount(np.concatenate(sequences), minlength=50))

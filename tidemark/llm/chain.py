@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 ROWS_AT_ONCE = 1 << 19
+SLICE = 1 << 14  # rows whose moves are added up together
 
 
 def by_length(lengths: np.ndarray, rows_at_once: int = ROWS_AT_ONCE) -> Iterator[np.ndarray]:
@@ -67,11 +68,13 @@ def backward(steps: Steps, move: np.ndarray, emit: np.ndarray, scale: np.ndarray
 
 
 def transitions(steps: Steps, alpha: np.ndarray, move: np.ndarray, emit: np.ndarray, scale: np.ndarray, beta: np.ndarray):
-    """Expected number of moves between states."""
-    later = np.arange(int(steps.begin[1]), len(emit))
-    if not len(later):
-        return np.zeros_like(move)
-    step = np.repeat(np.arange(1, len(steps.active)), steps.active[1:])
-    before = later - steps.active[step - 1]
-    right = emit[later] * beta[later] / scale[later, None]
-    return move * (alpha[before].T @ right)
+    """Expected number of moves between states, added up some rows at a time."""
+    total = np.zeros_like(move)
+    first = int(steps.begin[1])
+    gone = np.repeat(steps.active[:-1], steps.active[1:])  # how far back a row's step before lies
+    for a in range(first, len(emit), SLICE):
+        b = min(a + SLICE, len(emit))
+        right = emit[a:b] * beta[a:b]
+        right /= scale[a:b, None]
+        total += alpha[np.arange(a, b) - gone[a - first : b - first]].T @ right
+    return move * total

@@ -36,6 +36,7 @@ from tidemark.session import cut_lineage
 STATES, CLASSES, FREQUENT, PASSES, START_ROWS, START_PASSES = 8, 65_000, 65_000, 6, 1500, 0
 START_SHARE = 1 / 32
 FLUSH_WORDS = 400_000
+RUN_ROWS = 1 << 18  # rows of a run: a task holds three arrays of them
 BLOCK = 1024  # classes whose expected counts travel together
 END = b" "  # no word holds a space
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,7 +172,7 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     """Expected counts of starts, moves and words under the model."""
     lengths = np.array([len(s) for s in sequences], dtype=np.int64)
     start, move, words = np.zeros(model.states), np.zeros_like(model.move), np.zeros_like(model.emit)
-    for run in chain.by_length(lengths, 1 << 19):
+    for run in chain.by_length(lengths, RUN_ROWS):
         steps = chain.Steps(lengths[run])
         seq = np.empty(int(lengths[run].sum()), dtype=np.int64)
         seq[steps.place] = np.concatenate([sequences[i] for i in run])
@@ -183,6 +184,7 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
         start += alpha[: steps.active[0]].sum(axis=0)
         for k in range(model.states):
             words[:, k] += np.bincount(seq, alpha[:, k], len(words))
+        del emit, alpha, beta, scale  # the next run's come in their place
     return start, move, words
 
 
