@@ -30,3 +30,9 @@ def test_rows_of_a_symbol_are_not_shuffled_again(spark, tables):
         together = plan()
     assert (apart, together) == (3, 2)
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_stages_are_stored_small(spark):
+    from tidemark.session import cut_lineage
+
+    assert all(".zstd." in f for f in cut_lineage(spark.range(10)).inputFiles())
