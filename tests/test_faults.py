@@ -54,6 +54,29 @@ def test_flat_source_has_no_score(spark):
     assert best == {"s": None, "moving": 1.0}
 
 
+def test_the_calendar_rolls_once_per_day(spark, monkeypatch):
+    news, bars = lag_rows(spark, 7)
+    rolled = spark.sparkContext.accumulator(0)
+
+    @F.udf("date")
+    def open_day(day):
+        rolled.add(1)
+        return day
+
+    monkeypatch.setattr(publication_lag, "next_open_day", lambda c: open_day(c))
+    many = news.crossJoin(spark.range(40).withColumnRenamed("id", "n")).drop("n")
+    scores = {r["lag_days"]: r["score"] for r in publication_lag.lag_scores(many, bars).collect()}
+    assert scores[0.0] == 1.0 and scores[0.25] == 1.0
+    assert rolled.value <= 5  # days, not 200 rows
+
+
+def test_lags_without_prices_are_left_out(spark):
+    news, bars = lag_rows(spark, 0)
+    one = bars.where("date = date '2021-03-08'")
+    found = publication_lag.lag_scores(news.where("published = timestamp_ntz '2021-03-08 00:00:00'"), one).collect()
+    assert [(r["lag_days"], r["score"]) for r in found] == [(0.0, None)]
+
+
 @pytest.mark.parametrize("name", ["stream_ingest", "stream_first_story", "stream_daily_sums"])
 def test_streams_read_folders_of_parts(spark, tmp_path, name):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
