@@ -115,3 +115,20 @@ def test_vector_slices_are_exact(spark, eps):
     want = {i: r if root.count(r) > 1 else -1 for i, r in enumerate(root)}
     got = {r["id"]: r["cluster"] for r in vc.vector_clusters(df, "id", "v", "b", eps, part_rows=7).collect()}
     assert got == want
+
+
+def test_pairs_with_one_training_domain_share_a_fit(spark, monkeypatch):
+    """Three domains pair up in four folds that train on two domains."""
+    texts = [(i, "good news here" if i % 2 else "bad thing there", i % 2, f"s{i % 4}" if i % 4 < 3 else f"s{3 + i % 8 // 4 * 2}") for i in range(160)]
+    df = cl.with_words(spark.createDataFrame(texts, "doc_id long, text string, label int, subject string"), "text", "label")
+    subjects = {1: ["s1", "s0"], 2: ["s1", "s2"], 3: ["s3", "s0"]}
+    pairs = [(a, b, f"d{a}", f"d{b}", subjects[a], subjects[b]) for a, b in ((1, 2), (1, 3), (2, 1), (2, 3))]
+    names = ("train_no", "test_no", "train_domain", "test_domain", "train_subjects", "test_subjects")
+    pairs = spark.createDataFrame(pairs, ", ".join(f"{n} {t}" for n, t in zip(names, ["int"] * 2 + ["string"] * 2 + ["array<string>"] * 2)))
+    made, fits = cl.text_pipeline, []
+    monkeypatch.setattr(cl, "text_pipeline", lambda *a: fits.append(a) or made(*a))
+    found = cl.validation(cl.domain_folds(df, pairs), "doc_id").orderBy("train_domain", "test_domain").collect()
+    assert [(r["train_domain"], r["test_domain"]) for r in found] == [("d1", "d2"), ("d1", "d3"), ("d2", "d1"), ("d2", "d3")]
+    assert all(r["test_f1"] == 1.0 for r in found) and len(fits) == 2
+    alone = cl.fold_metrics(*[df.where(F.col("subject").isin(subjects[d])) for d in (1, 3)], "doc_id").first()
+    assert tuple(found[1])[2:] == tuple(alone)
