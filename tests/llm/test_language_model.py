@@ -133,3 +133,19 @@ def test_expected_counts_hold_few_arrays_of_a_run():
     assert peak < 4.5 * rows * 8 * 8  # emissions, forward, backward, and what is small beside them
     assert math.isclose(move.sum(), rows - len(sequences)) and math.isclose(start.sum(), len(sequences))
     assert np.allclose(words.sum(axis=1), np.bincount(np.concatenate(sequences), minlength=50))
+
+
+def test_steps_take_no_more_rows_of_their_own():
+    """Backward rows and moves come from the emissions' own place, and are those of the plain recursion."""
+    rng = np.random.default_rng(5)
+    steps = chain.Steps(np.array([40, 40, 9, 1]))
+    start, move, emit = rng.random(3), rng.random((3, 3)), rng.random((90, 3))
+    alpha, scale = chain.forward(steps, start, move, emit)
+    beta = chain.backward(steps, move, emit, scale)
+    want = chain.transitions(steps, alpha, move, emit, scale, beta)
+    own = emit.copy()
+    assert np.allclose(chain.backward_in_place(steps, move, own, scale), beta)
+    first = int(steps.begin[1])
+    assert np.allclose(own[first:], (emit * beta / scale[:, None])[first:])
+    assert np.allclose(chain.transitions_into(steps, alpha, move, own), want)
+    assert np.allclose((alpha * beta).sum(axis=1), 1)

@@ -8,7 +8,7 @@ scales add up to the exact log-likelihood.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -42,39 +42,57 @@ class Steps:
 
 def forward(steps: Steps, start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: bool = True):
     """(scaled forward rows or None, scales); `emit` has a row per place."""
-    scale = np.empty(len(emit))
+    scale, ones = np.empty(len(emit)), np.ones(emit.shape[1])
     rows = np.empty_like(emit) if keep else None
     state = None
-    for t, n in enumerate(steps.active.tolist()):
-        a = int(steps.begin[t])
+    for a, n in zip(steps.begin.tolist(), steps.active.tolist()):
         here = emit[a : a + n]
-        state = start * here if state is None else (state[:n] @ move) * here
-        c = state.sum(axis=1)
-        state = state / c[:, None]
-        scale[a : a + n] = c
-        if keep:
-            rows[a : a + n] = state
+        now = rows[a : a + n] if keep else np.empty_like(here)
+        if state is None:
+            np.multiply(start, here, out=now)
+        else:
+            np.matmul(state[:n], move, out=now)
+            now *= here
+        c = np.matmul(now, ones, out=scale[a : a + n])
+        now /= c[:, None]
+        state = now
     return rows, scale
 
 
 def backward(steps: Steps, move: np.ndarray, emit: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Scaled backward rows: forward times backward is the chance of each state."""
+    return backward_in_place(steps, move, emit.copy(), scale)
+
+
+def backward_in_place(steps: Steps, move: np.ndarray, emit: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The same; `emit` becomes what comes into each row but the first step's: emission times backward over the scale."""
     rows = np.ones_like(emit)
-    back = move.T
-    for t in range(len(steps.active) - 2, -1, -1):
-        a, b, n = int(steps.begin[t]), int(steps.begin[t + 1]), int(steps.active[t + 1])
-        rows[a : a + n] = ((emit[b : b + n] * rows[b : b + n]) / scale[b : b + n, None]) @ back
+    emit /= scale[:, None]
+    back = np.ascontiguousarray(move.T)
+    begin, active = steps.begin.tolist(), steps.active.tolist()
+    for t in range(len(active) - 2, -1, -1):
+        a, b, n = begin[t], begin[t + 1], active[t + 1]
+        into = emit[b : b + n]
+        into *= rows[b : b + n]
+        np.matmul(into, back, out=rows[a : a + n])
     return rows
 
 
 def transitions(steps: Steps, alpha: np.ndarray, move: np.ndarray, emit: np.ndarray, scale: np.ndarray, beta: np.ndarray):
     """Expected number of moves between states, added up some rows at a time."""
+    return _moves(steps, alpha, move, lambda a, b: emit[a:b] * beta[a:b] / scale[a:b, None])
+
+
+def transitions_into(steps: Steps, alpha: np.ndarray, move: np.ndarray, into: np.ndarray):
+    """The same from what `backward_in_place` leaves."""
+    return _moves(steps, alpha, move, lambda a, b: into[a:b])
+
+
+def _moves(steps: Steps, alpha: np.ndarray, move: np.ndarray, into: Callable[[int, int], np.ndarray]):
     total = np.zeros_like(move)
-    first = int(steps.begin[1])
+    first, rows = int(steps.begin[1]), len(alpha)
     gone = np.repeat(steps.active[:-1], steps.active[1:])  # how far back a row's step before lies
-    for a in range(first, len(emit), SLICE):
-        b = min(a + SLICE, len(emit))
-        right = emit[a:b] * beta[a:b]
-        right /= scale[a:b, None]
-        total += alpha[np.arange(a, b) - gone[a - first : b - first]].T @ right
+    for a in range(first, rows, SLICE):
+        b = min(a + SLICE, rows)
+        total += np.take(alpha, np.arange(a, b) - gone[a - first : b - first], axis=0).T @ into(a, b)
     return move * total

@@ -176,10 +176,10 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
         steps = chain.Steps(lengths[run])
         seq = np.empty(int(lengths[run].sum()), dtype=np.int64)
         seq[steps.place] = np.concatenate([sequences[i] for i in run])
-        emit = model.emit[seq]
+        emit = np.take(model.emit, seq, axis=0)
         alpha, scale = chain.forward(steps, model.start, model.move, emit)
-        beta = chain.backward(steps, model.move, emit, scale)
-        move += chain.transitions(steps, alpha, model.move, emit, scale, beta)
+        beta = chain.backward_in_place(steps, model.move, emit, scale)
+        move += chain.transitions_into(steps, alpha, model.move, emit)
         alpha *= beta
         start += alpha[: steps.active[0]].sum(axis=0)
         for k in range(model.states):
