@@ -185,3 +185,16 @@ def test_grammar_of_runs():
             assert repair.expand(seq, rules, 500).tolist() == ids.tolist()
             assert len(seq) + len(rules) < 120
             assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
+def test_words_are_remembered_and_long_ones_go(monkeypatch):
+    from tidemark.llm import bpe
+
+    enc = bpe.Encoder(bpe.vocabulary("word_bpe_49k.json"))
+    text = "It's 1984, it's Don'T!! cafés\v" + "x" * 60 + " x’s 'tis\r\n"
+    assert enc.encode(text) == enc.library(text)
+    monkeypatch.setattr(enc, "_model", None)  # nothing is merged again
+    known = "don't IT'S 1984, 1984,\t'tis"
+    assert enc.encode(known) == enc.library(known)
+    assert all(len(w) <= bpe.MEMO_CHARS for memo in (enc._memo, enc._words) for w in memo)
+    assert "it's" in enc._words and "1984," in enc._words

@@ -1,7 +1,8 @@
 """Byte-pair ids of whole texts, equal to those of the tokenizers library.
 
 `Encoder` cuts a text into the pieces of the pre-tokenizer's pattern, merges a
-piece it has not met, and remembers the ids. That holds for texts of Latin letters, digits and common signs, on which pattern tables of
+piece it has not met, and remembers the ids; where no piece crosses a space, the ids of whole words between
+spaces are remembered too. That holds for texts of Latin letters, digits and common signs, on which pattern tables of
 all libraries agree; any other text, or one that holds the string of a special
 token, goes to the library whole.
 
@@ -20,7 +21,7 @@ from functools import cache
 
 import numpy as np
 
-MEMO_PIECES = 900_000  # pieces remembered per Python worker; then it starts anew
+MEMO_PIECES = 900_000  # pieces (or pieces and words) remembered per Python worker; then it starts anew
 MEMO_CHARS = 48  # longer pieces are not remembered
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f"
 _SPACES = "\t-\r "
@@ -57,6 +58,26 @@ def _kind(char: str) -> str:
     return "" if group == "Cn" else group[0] if group[0] in "LN" else "o"
 
 
+class Memo(dict):
+    """Ids by string; what has not been met is worked out. Long strings stay until `trim`."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self._ids_of, self._long = ids_of, []
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self._ids_of(key)
+        if len(key) > MEMO_CHARS:
+            self._long.append(key)
+        return found
+
+    def trim(self) -> None:
+        """Between texts: long strings go."""
+        for key in self._long:
+            self.pop(key, None)
+        self._long.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian bytes (`dtype`), by one vocabulary file."""
 
@@ -75,8 +96,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._chars = {b: c for c, b in _byte_of_char().items()}
-        self._memo: dict[str, bytes] = {}
-        self._merge = self._merge_ranked() if self.spaced else self._merge_model
+        self._model = self.tok.model
+        self._memo = Memo(self._merge_ranked() if self.spaced else self._merge_model)
+        self._words = Memo(self._word)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -91,28 +113,31 @@ class Encoder:
 
     def _merge_model(self, piece: str) -> bytes:
         chars = piece.encode().decode("latin-1").translate(self._chars)
-        return array(self._code, [t.id for t in self.tok.model.tokenize(chars)]).tobytes()
+        return array(self._code, [t.id for t in self._model.tokenize(chars)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text or _OTHER_CHARS.search(text) or any(s in text for s in self.specials):
             return self.library(text)
-        memo = self._memo
-        pieces = _SPACED.findall(text) if self.spaced else _UNSPACED.findall(text.lower())
-        new = set(pieces).difference(memo)
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-            new = set(pieces)
-        for piece in new:
-            memo[piece] = self._merge(piece)
-        out = b"".join(map(memo.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > MEMO_CHARS:
-                del memo[piece]
+        if self.spaced:
+            out = b"".join(map(self._memo.__getitem__, _SPACED.findall(text)))
+        else:  # no piece crosses a space
+            out = b"".join(map(self._words.__getitem__, text.lower().split()))
+        for memo in (self._memo, self._words):
+            memo.trim()
+        if len(self._words) > MEMO_PIECES // 2:
+            self._words.clear()
+        if len(self._memo) > (MEMO_PIECES if self.spaced else MEMO_PIECES // 2):
+            self._memo.clear()
         return out
 
+    def _word(self, word: str) -> bytes:
+        """The ids of what stands between spaces: of its pieces, one after the other."""
+        return b"".join(map(self._memo.__getitem__, _UNSPACED.findall(word)))
+
     def forget(self) -> None:
         """Leave no pieces behind: the worker may go on to tasks that need its memory."""
         self._memo.clear()
+        self._words.clear()
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.dtype)
