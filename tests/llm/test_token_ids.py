@@ -198,3 +198,46 @@ def test_words_are_remembered_and_long_ones_go(monkeypatch):
     assert enc.encode(known) == enc.library(known)
     assert all(len(w) <= bpe.MEMO_CHARS for memo in (enc._memo, enc._words) for w in memo)
     assert "it's" in enc._words and "1984," in enc._words
+
+
+def test_words_of_one_piece_are_remembered_once():
+    from tidemark.llm import bpe
+
+    enc = bpe.Encoder(bpe.vocabulary("word_bpe_49k.json"))
+    text = "alpha Beta 'gamma' 12 alpha --' 's don't été,"
+    assert enc.encode(text) == enc.library(text)
+    met = {"alpha", "beta", "'gamma'", "'", "gamma", "12", "1", "2", "--'", "'s", "don't", "don", "'t", "été,", "été", ","}
+    assert set(enc._memo) == met
+
+
+def test_words_met_lately_are_not_merged_again(monkeypatch):
+    from tidemark.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 8)
+    enc = bpe.Encoder(bpe.vocabulary("word_bpe_49k.json"))
+    merged, merge = [], enc._merge_model
+    enc._merge_model = lambda piece: merged.append(piece) or merge(piece)
+    texts = ["one two three four five", "one two", "six seven eight nine ten", "one two"]
+    assert [enc.encode(t) for t in texts] == [enc.library(t) for t in texts]
+    assert merged.count("one") == merged.count("two") == 1
+    enc.forget()
+    assert not enc._memo and not enc._memo._before
+
+
+@pytest.mark.parametrize("ids", [[7] * 300, [1, 2, 3] * 50, [5], [4, 4, 4, 9, 4, 4, 9, 4, 4, 9, 4, 4, 9]])
+def test_expanding_by_rules_is_expanding_level_by_level(ids):
+    seq, rules = repair.compress(np.array(ids * 3), 100)
+    for part in (seq, np.concatenate([seq] * 400)):
+        found = repair.expand(part, rules, 100)
+        assert np.array_equal(found, repair._level_by_level(part, rules, 100)) and found.dtype == part.dtype
+    assert repair.expand(seq, rules, 100).tolist() == ids * 3
+
+
+def test_pairs_too_wide_for_one_number_are_sorted_alike():
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 50, (2, 500), dtype=np.uint32)
+    for wide in (0, 1 << 31):
+        pairs, order = repair._sorted_pairs(left + np.uint32(wide), right + np.uint32(wide))
+        want = ((left.astype(np.int64) + wide) << 32) | (right.astype(np.int64) + wide)
+        assert (np.diff(pairs) >= 0).all() and np.array_equal(want[order], pairs)
+        assert np.array_equal(np.sort(order), np.arange(500))

@@ -2,7 +2,7 @@
 
 `Encoder` cuts a text into the pieces of the pre-tokenizer's pattern, merges a
 piece it has not met, and remembers the ids; where no piece crosses a space, the ids of whole words between
-spaces are remembered too. That holds for texts of Latin letters, digits and common signs, on which pattern tables of
+spaces are remembered beside those of their pieces. That holds for texts of Latin letters, digits and common signs, on which pattern tables of
 all libraries agree; any other text, or one that holds the string of a special
 token, goes to the library whole.
 
@@ -63,10 +63,13 @@ class Memo(dict):
 
     def __init__(self, ids_of):
         super().__init__()
-        self._ids_of, self._long = ids_of, []
+        self._ids_of, self._long, self._before = ids_of, [], {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self._ids_of(key)
+        found = self._before.get(key)
+        if found is None:
+            found = self._ids_of(key)
+        self[key] = found
         if len(key) > MEMO_CHARS:
             self._long.append(key)
         return found
@@ -77,6 +80,11 @@ class Memo(dict):
             self.pop(key, None)
         self._long.clear()
 
+    def age(self) -> None:
+        """Start anew; what was met since the last time is still known until the next."""
+        self._before = dict(self)
+        self.clear()
+
 
 class Encoder:
     """Ids of texts as little-endian bytes (`dtype`), by one vocabulary file."""
@@ -97,8 +105,8 @@ class Encoder:
         self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._chars = {b: c for c, b in _byte_of_char().items()}
         self._model = self.tok.model
-        self._memo = Memo(self._merge_ranked() if self.spaced else self._merge_model)
-        self._words = Memo(self._word)
+        # A piece that stands alone between spaces is the one piece of that word, so both may lie in one memo.
+        self._memo = self._words = Memo(self._merge_ranked() if self.spaced else self._word)
 
     def library(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -112,7 +120,7 @@ class Encoder:
         return lambda piece: array(self._code, core.encode_ordinary(piece)).tobytes()
 
     def _merge_model(self, piece: str) -> bytes:
-        chars = piece.encode().decode("latin-1").translate(self._chars)
+        chars = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._chars)
         return array(self._code, [t.id for t in self._model.tokenize(chars)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -122,22 +130,24 @@ class Encoder:
             out = b"".join(map(self._memo.__getitem__, _SPACED.findall(text)))
         else:  # no piece crosses a space
             out = b"".join(map(self._words.__getitem__, text.lower().split()))
-        for memo in (self._memo, self._words):
-            memo.trim()
-        if len(self._words) > MEMO_PIECES // 2:
-            self._words.clear()
-        if len(self._memo) > (MEMO_PIECES if self.spaced else MEMO_PIECES // 2):
+        self._memo.trim()
+        if self.spaced and len(self._memo) > MEMO_PIECES:
             self._memo.clear()
+        elif not self.spaced and len(self._memo) > MEMO_PIECES // 2:
+            self._memo.age()
         return out
 
     def _word(self, word: str) -> bytes:
         """The ids of what stands between spaces: of its pieces, one after the other."""
-        return b"".join(map(self._memo.__getitem__, _UNSPACED.findall(word)))
+        if word.isalpha():
+            return self._merge_model(word)
+        pieces = _UNSPACED.findall(word)
+        return self._merge_model(word) if len(pieces) == 1 else b"".join(map(self._memo.__getitem__, pieces))
 
     def forget(self) -> None:
         """Leave no pieces behind: the worker may go on to tasks that need its memory."""
         self._memo.clear()
-        self._words.clear()
+        self._memo.age()
 
     def ids(self, data: bytes) -> np.ndarray:
         return np.frombuffer(data, dtype=self.dtype)

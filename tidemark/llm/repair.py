@@ -47,22 +47,38 @@ def frequent_pairs(seq: np.ndarray, least: int, at: np.ndarray) -> tuple[np.ndar
     # A pair is no more frequent than its bucket: few places are left to be counted exactly.
     bucket = (left * np.uint32(40_503) + right).astype(np.uint16)
     often = np.flatnonzero(np.take(np.bincount(bucket, minlength=BUCKETS) >= least, bucket))
-    pairs = (left[often].astype(np.int64) << 32) | right[often]
-    order = np.argsort(pairs)
-    pairs = pairs[order]
+    pairs, order = _sorted_pairs(left[often], right[often])
     begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, np.int64)
     counts = np.diff(np.append(begin, len(pairs)))
     kept = counts >= least
-    rank = np.full(len(begin), -1)
+    rank = np.full(len(begin), -1, dtype=np.int32)
     rank[kept] = np.argsort(np.argsort(-counts[kept], kind="stable"), kind="stable")
     found = np.empty(int(kept.sum()), dtype=np.int64)
     found[rank[kept]] = pairs[begin[kept]]
-    of_place = np.full(len(at), -1)
+    of_place = np.full(len(at), -1, dtype=np.int32)
     of_place[often[order]] = np.repeat(rank, counts)
     stands = of_place >= 0
     return found, at[stands], of_place[stands]
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as left * 2^32 + right) in order, and the places they come from."""
+    n = len(left)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    wide, places = int(right.max()).bit_length(), (n - 1).bit_length()
+    if int(left.max()).bit_length() + wide + places > 63:
+        pairs = (left.astype(np.int64) << 32) | right
+        order = np.argsort(pairs)
+        return pairs[order], order
+    # Pair and place in one number: sorting numbers is several times faster than sorting their places.
+    key = (((left.astype(np.int64) << wide) | right) << places) | np.arange(n)
+    key.sort()
+    order = key & ((1 << places) - 1)
+    key >>= places
+    return ((key >> wide) << 32) | (key & ((1 << wide) - 1)), order
+
+
 def compress(ids: np.ndarray, terminals: int, least: int = LEAST):
     """The sequence of symbols, and rules as rows of two symbols."""
     seq, rules = ids.astype(np.uint32), []
@@ -76,17 +92,22 @@ def compress(ids: np.ndarray, terminals: int, least: int = LEAST):
         open_at[:] = False
         open_at[places] = True
         # Of a run of one symbol the pairs that overlap are left out: every second place stays.
-        touch, like = np.diff(places) == 1, np.diff(rank) == 0
-        start = np.flatnonzero(np.append(True, ~(touch & like)))
-        nth = np.arange(len(places)) - np.repeat(start, np.diff(np.append(start, len(places))))
-        places, rank = places[nth % 2 == 0], rank[nth % 2 == 0]
+        goes_on = 1 + np.flatnonzero((places[1:] - places[:-1] == 1) & (rank[1:] == rank[:-1]))
+        if len(goes_on):
+            start = np.flatnonzero(np.append(True, np.diff(goes_on) != 1))
+            nth = np.arange(len(goes_on)) - np.repeat(start, np.diff(np.append(start, len(goes_on))))
+            apart = np.ones(len(places), dtype=bool)
+            apart[goes_on[nth % 2 == 0]] = False
+            places, rank = places[apart], rank[apart]
         # Where chosen pairs overlap the more frequent wins, among equals the first.
-        touch = np.diff(places) == 1
+        touch = places[1:] - places[:-1] == 1
         wins = np.ones(len(places), dtype=bool)
         wins[1:] &= ~touch | (rank[1:] < rank[:-1])
         wins[:-1] &= ~touch | (rank[:-1] <= rank[1:])
         take = places[wins]
-        used, new = np.unique(rank[wins], return_inverse=True)
+        rank = rank[wins]
+        stands = np.bincount(rank, minlength=len(found)) > 0
+        used, new = np.flatnonzero(stands), (np.cumsum(stands) - 1)[rank]
         rules.append(np.stack([found[used] >> 32, found[used] & 0xFFFFFFFF], axis=1).astype(np.uint32))
         seq[take] = terminals + made + new
         made += len(used)
@@ -114,7 +135,32 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of symbols: every nonterminal becomes its two symbols, until there are none."""
+    """The ids of symbols. The ids of every rule that is used are worked out once and laid out one after the other."""
+    if len(seq) <= len(rules):  # few symbols: not worth working out all rules
+        return _level_by_level(seq, rules, terminals)
+    ends = np.cumsum(rule_lengths(rules, terminals).astype(np.int64))
+    if not len(ends) or ends[-1] > 16 * len(seq):  # rules of very long runs
+        return _level_by_level(seq, rules, terminals)
+    flat = _level_by_level(terminals + np.arange(len(rules), dtype=rules.dtype), rules, terminals)
+    rule = seq.astype(np.int64) - terminals
+    big = rule >= 0
+    rule = rule[big]
+    sizes = np.ones(len(seq), dtype=np.int64)
+    sizes[big] = np.diff(ends, prepend=0)[rule]
+    stop = np.cumsum(sizes)
+    # Where an id lies in the ids of all rules; symbols that are ids themselves are put in afterwards.
+    shift = np.zeros(len(seq), dtype=np.int64)
+    shift[big] = ends[rule] - stop[big]
+    at = np.arange(int(stop[-1])) + np.repeat(shift, sizes)
+    single = stop[~big] - 1
+    at[single] = 0
+    out = flat[at]
+    out[single] = seq[~big]
+    return out
+
+
+def _level_by_level(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
+    """Every nonterminal becomes its two symbols, until there are none."""
     out = seq
     while len(at := np.flatnonzero(out >= terminals)):
         pair = rules[out[at] - terminals]
