@@ -132,3 +132,41 @@ def test_pairs_with_one_training_domain_share_a_fit(spark, monkeypatch):
     assert all(r["test_f1"] == 1.0 for r in found) and len(fits) == 2
     alone = cl.fold_metrics(*[df.where(F.col("subject").isin(subjects[d])) for d in (1, 3)], "doc_id").first()
     assert tuple(found[1])[2:] == tuple(alone)
+
+
+def _direction(spark, n=400):
+    rows = spark.range(0, n, 1, 1).select(
+        F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"),
+        F.when(F.col("id") % 7 > 3, 1).otherwise(0).alias("up"),
+    )
+    return rows
+
+
+def test_folds_are_fitted_once_each_and_on_all_cores(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    fitted, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, rows, *a: fitted.append((rows.count(), rows.rdd.getNumPartitions())) or fit(self, rows, *a))
+    got = cl.cross_validate(_direction(spark), ["a", "b"], "up", "rf", k=4).first()
+    assert (got["model"], got["folds"]) == ("rf", 4) and got["weighted_f1"] == 1.0
+    assert len(fitted) == 4 and sum(n for n, _ in fitted) == 3 * 400
+    assert all(parts >= spark.sparkContext.defaultParallelism for _, parts in fitted)
+
+
+def test_searches_fit_on_all_cores(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    parts, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, rows, *a: parts.append(rows.rdd.getNumPartitions()) or fit(self, rows, *a))
+    got = cl.search(_direction(spark), ["a", "b"], "up", "lr", "key", trials=2).collect()
+    assert len(got) == 2 and len(parts) == 3
+    assert min(parts) >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_are_dealt_evenly_and_let_go(spark, monkeypatch):
+    monkeypatch.setattr(cl, "ROWS_A_TASK", 10)
+    with cl.dealt(spark.range(0, 400, 1, 1)) as held:
+        assert held.rdd.getNumPartitions() == 40 and held.is_cached
+        sizes = [r[1] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 40 and max(sizes) - min(sizes) <= 1
+    assert not held.is_cached
