@@ -148,3 +148,28 @@ def test_first_story(spark):
     labelled = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", -1), (4, "a", -1)], "doc_id int, block string, cluster int")
     out = sim.first_stories(labelled, docs)
     assert rows(out.select("doc_id", "first_story"), "doc_id") == [(1, 0), (2, 1), (3, 1), (4, 0)]
+
+
+def test_words_are_counted_without_a_shuffle_of_words(spark):
+    from tidemark.operators import text_vectors as tv
+
+    schema = "block string, doc_id long, words array<string>, _c long"
+    rows = [("a", 1, ["b", "a", "b"], 1), ("a", 2, ["c"], 1), ("b", 3, ["é", "b", "é", "é"], 2)]
+    lists = spark.createDataFrame(rows, schema)
+    none = lists.select("block", "doc_id", "_c").where("false")
+    got = tv._token_counts(lists, none)
+    want = {("a", 1, 1, "a", 1), ("a", 1, 1, "b", 2), ("a", 2, 1, "c", 1), ("b", 3, 2, "b", 1), ("b", 3, 2, "é", 3)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 5
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_in_several_rows_are_one_text(spark):
+    from tidemark.operators import text_vectors as tv
+
+    rows = [("a", 1, ["x", "y"]), ("a", 1, ["x"]), ("a", None, ["x"]), ("a", None, ["x", "z"]), ("a", 2, ["y"]), ("b", 1, ["x"])]
+    lists = spark.createDataFrame(rows, "block string, doc_id long, words array<string>")
+    got = {(r["block"], r["doc_id"], r["token"]): (r["tf"], r["df"]) for r in tv.tf_idf(lists).collect()}
+    assert got == {
+        ("a", 1, "x"): (2, 2), ("a", 1, "y"): (1, 2), ("a", None, "x"): (2, 2), ("a", None, "z"): (1, 1), ("a", 2, "y"): (1, 2),
+        ("b", 1, "x"): (1, 1),
+    }
