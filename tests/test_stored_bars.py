@@ -1,5 +1,7 @@
 """Bars stored once, and joins that leave a symbol's rows where they lie."""
 
+import time
+
 from conftest import SF, rows
 from pyspark.sql import Window as W, functions as F
 
@@ -36,3 +38,39 @@ def test_stages_are_stored_small(spark):
     from tidemark.session import cut_lineage
 
     assert all(".zstd." in f for f in cut_lineage(spark.range(10)).inputFiles())
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = manager.getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def _left_by(spark, work):
+    """Shuffle files that are there some seconds after `work` and were not before."""
+    before = _shuffle_files(spark)
+    work()
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert _left_by(spark, lambda: cut_lineage(counts)) == set()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_stages_hold_their_rows_when_what_they_read_was_let_go(spark):
+    """A frame is planned anew for each write, also when it has been written before."""
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    first, again = cut_lineage(counts), cut_lineage(counts)
+    assert rows(first, "k") == rows(again, "k") == rows(counts, "k")
+
+
+def test_both_panels_read_one_stage_of_news(spark):
+    t = Tables(spark, SF)
+    assert study.stored_news(t) is study.stored_news(t)
+    assert rows(study.stored_news(t), "company", "date") == rows(study.daily_news(t), "company", "date")
