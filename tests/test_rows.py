@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidemark.functions import dates, finance as fin, text as tx
 from tidemark.operators import aggregates as agg, asof, clean, ingest, joins, labels, prices, scoring
-from tidemark.session import new_path
+from tidemark.session import cut_lineage, new_path
 from tidemark.sources import files
 
 
@@ -166,6 +166,15 @@ def test_ingest_resumes(spark):
     assert ingest.ingest_missing(df, store, "k").count() == 3
 
 
+def test_known_entities_are_sent_to_the_rows(spark):
+    """Their keys are few, whatever the size of the store they are read from: the rows themselves are not shuffled."""
+    df = cut_lineage(spark.range(20).selectExpr("id % 10 k", "id v"))
+    known = spark.range(50_000_000).selectExpr("id % 7 k").where("k < 3")
+    left = ingest.unprocessed(df, known, "k")
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r["k"] for r in left.collect()) == sorted([*range(3, 10)] * 2)
+
+
 def test_scores_and_tags(spark):
     df = spark.createDataFrame([(1, "Good good bad"), (2, None), (3, "bad")], "id int, text string")
     out = scoring.lexicon_score(df, "text", ["good"], ["bad"]).select("id", "label", "score")

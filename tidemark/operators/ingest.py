@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.session import letting_go, sized
+
 # Fixed value: a list item that opens with a link; groups are address and text.
 LIST_LINK = r'<li[^>]*>\s*<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
@@ -62,8 +64,8 @@ def entity_head(entities: DataFrame, n: int, *order) -> DataFrame:
 
 
 def unprocessed(rows: DataFrame, processed: DataFrame, key: str) -> DataFrame:
-    """Rows of entities that were not ingested before."""
-    return rows.join(processed.select(key).distinct(), key, "left_anti")
+    """Rows of entities that were not ingested before; their keys are stored, so that few of them are sent to the rows."""
+    return rows.join(sized(processed.select(key).distinct()), key, "left_anti")
 
 
 def ingest_missing(rows: DataFrame, store: str, key: str) -> DataFrame:
@@ -74,5 +76,7 @@ def ingest_missing(rows: DataFrame, store: str, key: str) -> DataFrame:
     """
     spark = rows.sparkSession
     have = spark.read.schema(rows.schema).parquet(store)
-    unprocessed(rows, have, key).write.mode("append").parquet(store)
+    missing = unprocessed(rows, have, key)
+    with letting_go(spark):
+        missing.write.mode("append").parquet(store, compression="zstd")
     return spark.read.schema(rows.schema).parquet(store)

@@ -12,7 +12,7 @@ from tidemark.operators.labels import one_hot
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.scalars import STRIP
-from tidemark.session import cut_lineage, new_path
+from tidemark.session import cut_lineage, letting_go, new_path, sized
 from tidemark.sources import files
 from tidemark.streaming import streams
 
@@ -85,10 +85,11 @@ def result_sinks(t):
 @query("ingest_unprocessed", "select news_id, company, published, title from news")
 def ingest_unprocessed(t):
     """The store starts with the companies of early news; the rest is ingested."""
-    rows = t.news.select("news_id", "company", "published", "title")
-    done = rows.where(F.col("published") < F.lit("1995-01-05").cast("timestamp_ntz")).select("company").distinct()
+    rows = cut_lineage(t.news.select("news_id", "company", "published", "title"))
+    done = sized(rows.where(F.col("published") < F.lit("1995-01-05").cast("timestamp_ntz")).select("company").distinct())
     store = new_path(t.spark, "store")
-    rows.join(done, "company", "left_semi").select(*rows.columns).write.parquet(store)
+    with letting_go(t.spark):
+        rows.join(done, "company", "left_semi").select(*rows.columns).write.parquet(store, compression="zstd")
     return ing.ingest_missing(rows, store, "company")
 
 
