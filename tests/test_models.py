@@ -212,3 +212,18 @@ def test_matrix_has_every_domain(many_domains):
 def test_texts_that_share_no_word_are_given_the_larger_class(spark):
     rows = cl.with_words(spark.createDataFrame([("one", 1), ("two", 1), ("three", 0)], "text string, label int"), "text", "label")
     assert {r["prediction"] for r in cl._words_scorer("lr", rows)(rows).collect()} == {1.0}
+
+
+def test_search_query_draws_the_studied_numbers(spark, monkeypatch):
+    from tidemark.plans import modelling
+
+    drawn, settings = {}, cl.draw_settings
+
+    def search(rows, features, label, kind, key, trials=None):
+        drawn[kind] = len(settings(kind, trials or cl.TRIALS[kind]))
+        return spark.range(1)
+
+    monkeypatch.setattr(cl, "search", search)
+    monkeypatch.setattr(modelling, "direction_rows", lambda t: spark.range(1))
+    modelling.param_search(None)
+    assert drawn == {"lr": 100, "rf": 100, "gbt": 200}
